@@ -137,10 +137,9 @@ def with_canonical(df: DataFrame, key: str = "doc_id", text: str = "text", keep_
         database = _database()
         for part in batches:
             database.register("batch", pa.Table.from_batches([part]))
-            result = database.execute(query).arrow()
-            table = result if isinstance(result, pa.Table) else result.read_all()
+            result = database.execute(query).to_arrow_table()
             database.unregister("batch")
-            yield from table.combine_chunks().to_batches()
+            yield from result.combine_chunks().to_batches()
 
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     return rows.mapInArrow(normalise, schema).withColumnRenamed("_key", key)
