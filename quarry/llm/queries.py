@@ -4,14 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import lookalike, packing, tokens
+from quarry.llm import fusion, lookalike, neighbours, packing, splitting, tokens
 from quarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf, "chunks").dropDuplicates(["chunk_id"]))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_chunks(splitting.split_oversized(table(spark, sf, "chunks")))
+
+
+#: Pairs to be found are at least this similar.
+SIMILAR = 0.90
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours.nearest_neighbours(table(spark, sf, "chunks"), floor=SIMILAR)
+    return neighbours.similar_pairs(near, SIMILAR)
+
+
+def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 nearest of every hundredth chunk among all chunks."""
+    settings = neighbours.Settings(probes=48)
+    near = neighbours.nearest_neighbours(table(spark, sf, "chunks"), queries=F.col("id") % 100 == 0, settings=settings)
+    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
+
+
+def p5_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.fuse_scores(table(spark, sf, "search_results"), table(spark, sf, "search_queries"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_ranking(spark, sf).filter("position = 1").select("query_id", "chunk_id")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf, "documents"))
 
@@ -36,6 +68,6 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_canonical)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p5_found, p5_ranking, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_canonical)}
 
 SQL: dict[str, str] = {}
