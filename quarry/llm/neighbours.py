@@ -27,8 +27,8 @@ class Settings:
     """``sample`` bounds the rows the centroids are fitted on (drawn by a hash of the id); all rows are indexed."""
 
     k: int = 10
-    probes: int = 4
-    list_size: int = 1000
+    probes: int = 5
+    list_size: int = 300
     sample: int = 65_536
     most_lists: int = 4096
     #: Width of the error bound in standard deviations of the estimate.
