@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,8 +28,8 @@ class Settings:
     k: int = 10
     probes: int = 5
     list_size: int = 300
-    sample: int = 65_536
-    most_lists: int = 4096
+    sample: int = 32_768
+    most_lists: int = 2048
     #: Width of the error bound in standard deviations of the estimate.
     bound: float = 3.5
     #: Rows of a list compared at once; larger lists are cut into blocks.
@@ -145,7 +144,7 @@ def search_list(query_ids, queries, member_ids, members, centroid, turn, k, floo
 class Index:
     """Centroids by vector length, and the blocks their lists are cut into."""
 
-    def __init__(self, sample: pd.DataFrame, counts: dict[int, int], settings: Settings):
+    def __init__(self, sample: dict[int, np.ndarray], counts: dict[int, int], settings: Settings):
         self.settings = settings
         self.centroids: dict[int, np.ndarray] = {}
         self.turns: dict[int, np.ndarray] = {}
@@ -153,9 +152,8 @@ class Index:
         self.base: dict[int, int] = {}
         lists = 0
         for dimensions, rows in sorted(counts.items()):
-            own = sample["vector"][sample["dimensions"] == dimensions]
-            matrix = unit(np.stack([np.asarray(v, np.float32) for v in own])) if len(own) else np.zeros((1, dimensions), np.float32)
-            wanted = min(settings.most_lists, -(-rows // settings.list_size), max(1, len(matrix) // 24))
+            matrix = unit(sample[dimensions]) if dimensions in sample else np.zeros((1, dimensions), np.float32)
+            wanted = min(settings.most_lists, -(-rows // settings.list_size), max(1, len(matrix) // 16))
             centroids = fit_centroids(matrix, wanted, settings.seed)
             sizes = np.bincount((matrix @ centroids.T).argmax(1), minlength=len(centroids)) * (rows / max(1, len(matrix)))
             self.centroids[dimensions], self.turns[dimensions] = centroids, rotation(dimensions, settings.seed)
@@ -187,8 +185,13 @@ def fit_index(vectors: DataFrame, settings: Settings) -> Index:
     for dimensions, rows in counts.items():
         share = F.when(F.size("vector") == dimensions, F.lit(min(1.0, max(settings.sample / total, min(2000, settings.sample) / rows)))).otherwise(share)
     drawn = F.pmod(F.xxhash64("id", F.lit(settings.seed)), F.lit(1 << 30)) < share * (1 << 30)
-    sample = vectors.filter(drawn).select("id", F.size("vector").alias("dimensions"), "vector").toPandas()
-    return Index(sample.sort_values("id", kind="stable"), counts, settings)
+    sample = vectors.filter(drawn).select("id", "vector").toArrow().combine_chunks()
+    if not len(sample):
+        return Index({}, counts, settings)
+    column = sample.column("vector").chunk(0).take(pa.array(np.argsort(sample.column("id").to_numpy(), kind="stable")))
+    sizes, values = np.diff(column.offsets.to_numpy()), column.values.to_numpy()
+    of_value = np.repeat(sizes, sizes)
+    return Index({int(d): values[of_value == d].reshape(-1, d) for d in np.unique(sizes)}, counts, settings)
 
 
 def usable_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:

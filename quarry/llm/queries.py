@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import fusion, lookalike, neighbours, packing, splitting, tokens
+from quarry.llm import fusion, handwritten, lookalike, neighbours, packing, splitting, tokens
 from quarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_chunks(splitting.split_oversized(table(spark, sf, "chunks")))
 
 
+def p2_files(spark: SparkSession, sf: str) -> DataFrame:
+    features = handwritten.file_features(table(spark, sf, "chunks"), table(spark, sf, "files"))
+    return handwritten.judge(features).withColumn("score", F.round("score", 6))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_files(spark, sf).filter("not_handwritten").select("file_id")
+
+
 #: Pairs to be found are at least this similar.
 SIMILAR = 0.90
 
@@ -68,6 +77,6 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p5_found, p5_ranking, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_canonical)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_files, p3_found, p3_neighbours, p5_found, p5_ranking, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_canonical)}
 
 SQL: dict[str, str] = {}
