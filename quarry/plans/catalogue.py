@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from quarry.plans import change_queries
+
+QUERIES: dict = {**change_queries.QUERIES}
+SQL: dict[str, str] = {**change_queries.SQL}
+FLAGSHIP = "p4_found"
