@@ -43,7 +43,7 @@ def contains_second(start: Column, end: Column, second: Column) -> Column:
 
 def to_milliseconds(seconds: Column) -> Column:
     """V-4: negative times are 0, halves round up."""
-    return F.round(F.greatest(seconds, F.lit(0.0)) * 1000).cast("long")
+    return F.when(seconds.isNotNull(), F.round(F.greatest(seconds, F.lit(0.0)) * 1000).cast("long"))
 
 
 def samples_to_span(first: Column, count: Column, rate: int = 16_000) -> Column:

@@ -84,10 +84,11 @@ def display_path(path: Column, folder: str) -> Column:
 
 
 def timestamp(seconds: Column) -> Column:
-    """S-7: m:ss, or h:mm:ss from an hour on; halves round up, negative times are 0."""
+    """S-7: m:ss, or h:mm:ss from an hour on; halves round up, negative times are 0, null stays null."""
     total = F.floor(F.greatest(seconds, F.lit(0.0)) + 0.5).cast("long")
     hours, minutes, rest = F.floor(total / 3600), F.floor(total / 60) % 60, total % 60
-    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
+    told = F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
+    return F.when(seconds.isNotNull(), told)
 
 
 def time_range(start: Column, end: Column) -> Column:
@@ -106,7 +107,7 @@ def readable_age(seconds: Column) -> Column:
     def plural(count: Column, unit: str) -> Column:
         return F.concat(count.cast("string"), F.lit(f" {unit}"), F.when(count == 1, "").otherwise("s"), F.lit(" ago"))
 
-    s = F.greatest(seconds, F.lit(0))
+    s = F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0)))
     return F.when(s < 60, "just now").when(s < 3600, plural(F.floor(s / 60), "minute")).when(s < 86400, plural(F.floor(s / 3600), "hour")).otherwise(plural(F.floor(s / 86400), "day"))
 
 
