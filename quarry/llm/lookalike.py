@@ -39,7 +39,7 @@ def single_forms() -> tuple[str, str]:
         tag, _, rest = unicodedata.decomposition(c).partition(" ")
         if tag in ALIKE_FORMS and c not in DIFFERENT_FORMS and " " not in rest:
             to = unicodedata.normalize("NFKC", c)
-            if len(to) == 1:
+            if len(to) == 1 and to not in "\u115f\u1160":  # fillers are invisible and go before
                 pairs[c] = LOOK_ALIKES.get(to, to)
     for c, to in LOOK_ALIKES.items():
         if len(c) == 1:

@@ -79,4 +79,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_files, p3_found, p3_neighbours, p5_found, p5_ranking, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_canonical)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": r"""SELECT DISTINCT chunk_id FROM chunks
+WHERE strlen(text) > 3000 OR length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END > 30""",
+    "p3_found": """WITH v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS n FROM chunks WHERE len(embedding) > 0)
+SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id AND len(a.e) = len(b.e)
+WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) >= 9e-1 * sqrt(a.n) * sqrt(b.n)""",
+    "p8_found": f"""WITH c AS (SELECT doc_id, text, form FROM (SELECT doc_id, text, {lookalike.canonical_sql("text")} AS form FROM documents) WHERE regexp_matches(form, '\\S'))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
+}
