@@ -26,8 +26,8 @@ class Settings:
     """``sample`` bounds the rows the centroids are fitted on (drawn by a hash of the id); all rows are indexed."""
 
     k: int = 10
-    probes: int = 5
-    list_size: int = 300
+    probes: int = 6
+    list_size: int = 600
     sample: int = 32_768
     most_lists: int = 2048
     #: Width of the error bound in standard deviations of the estimate.

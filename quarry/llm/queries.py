@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 10 nearest of every hundredth chunk among all chunks."""
-    settings = neighbours.Settings(probes=160)
+    settings = neighbours.Settings(probes=96)
     near = neighbours.nearest_neighbours(table(spark, sf, "chunks"), queries=F.col("id") % 100 == 0, settings=settings)
     return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
 
