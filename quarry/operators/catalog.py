@@ -27,9 +27,16 @@ def current_files(files: DataFrame) -> DataFrame:
 
 
 def clean_chunks(chunks: DataFrame) -> DataFrame:
-    """One row for each chunk id, kinds in lower case and only known ones (else null)."""
+    """One row for each chunk id (the earliest where there is ``recorded_at``), kinds as by :func:`with_known_kind`."""
+    order = [F.col(c) for c in ("recorded_at",) if c in chunks.columns] or [F.col("chunk_id")]
+    first = chunks.filter("chunk_id is not null").withColumn("_k", F.row_number().over(W.partitionBy("chunk_id").orderBy(*order)))
+    return with_known_kind(first.filter("_k = 1").drop("_k"))
+
+
+def with_known_kind(chunks: DataFrame) -> DataFrame:
+    """Kinds in lower case, and only known ones (else null)."""
     kind = F.lower("kind")
-    return chunks.filter("chunk_id is not null").dropDuplicates(["chunk_id"]).withColumn("kind", F.when(kind.isin(*KINDS), kind))
+    return chunks.withColumn("kind", F.when(kind.isin(*KINDS), kind))
 
 
 def chunks_with_path(chunks: DataFrame, files: DataFrame) -> DataFrame:

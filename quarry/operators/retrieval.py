@@ -20,9 +20,15 @@ def similarities(chunks: DataFrame, query: Column) -> DataFrame:
     return chunks.withColumn("similarity", vectors.dot(query, F.col("embedding"))).filter(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
 
 
-def vector_topk(chunks: DataFrame, query: Column, k: int = CANDIDATES, key: str = "chunk_id") -> DataFrame:
-    """T-1: the k most similar, of equal ones the higher id. The scan keeps k rows a task; texts are not read."""
-    return similarities(chunks, query).select(key, "similarity").orderBy(F.desc("similarity"), F.desc(key)).limit(k)
+def vector_topk(chunks: DataFrame, query: Column, k: int = CANDIDATES, key: str = "chunk_id", repeats: bool = False) -> DataFrame:
+    """T-1: the k most similar, of equal ones the higher id. The scan keeps k rows a task; texts are not read.
+
+    With ``repeats`` an id may occur several times and counts once; then ids and similarities, no vectors, are shuffled.
+    """
+    scored = similarities(chunks, query).select(key, "similarity")
+    if repeats:
+        scored = scored.groupBy(key).agg(F.max("similarity").alias("similarity"))
+    return scored.orderBy(F.desc("similarity"), F.desc(key)).limit(k)
 
 
 def similarity_moments(scored: DataFrame) -> DataFrame:

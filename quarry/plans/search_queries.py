@@ -29,6 +29,11 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """With repeated rows, as what follows counts an id once: so vectors aren't shuffled to find the repeats."""
+    return catalog.with_known_kind(table(spark, sf, "chunks").select("chunk_id", "file_id", "kind", "embedding")).filter("chunk_id is not null")
+
+
+def _distinct_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.clean_chunks(table(spark, sf, "chunks").select("chunk_id", "file_id", "kind", "embedding"))
 
 
@@ -39,13 +44,13 @@ def vector_topk(spark, sf):
 
 def vector_topk_kind(spark, sf):
     rows = _chunk_vectors(spark, sf).filter("kind = 'pdf'")
-    return retrieval.vector_topk(rows, query_vector(spark, sf), 10).select("chunk_id", _six("similarity"))
+    return retrieval.vector_topk(rows, query_vector(spark, sf), 10, repeats=True).select("chunk_id", _six("similarity"))
 
 
 def vector_topk_scope(spark, sf):
     rows = _chunk_vectors(spark, sf)
     rows = catalog.chunks_with_path(rows, table(spark, sf, "files")).filter(catalog.in_scope(F.col("path"), SCOPE))
-    return retrieval.vector_topk(rows, query_vector(spark, sf), 10).select("chunk_id", _six("similarity"))
+    return retrieval.vector_topk(rows, query_vector(spark, sf), 10, repeats=True).select("chunk_id", _six("similarity"))
 
 
 def _query_set(spark, sf) -> DataFrame:
@@ -58,7 +63,8 @@ def vector_topk_batch(spark, sf):
 
 
 def _scored(spark, sf) -> DataFrame:
-    return retrieval.similarities(_chunk_vectors(spark, sf), query_vector(spark, sf)).select("chunk_id", "similarity")
+    scored = retrieval.similarities(_chunk_vectors(spark, sf), query_vector(spark, sf))
+    return scored.groupBy("chunk_id").agg(F.max("similarity").alias("similarity"))
 
 
 def background_stats(spark, sf):
@@ -79,7 +85,7 @@ def truncate_normalize(spark, sf):
 
 
 def mean_direction(spark, sf):
-    rows = _chunk_vectors(spark, sf).filter("file_id is not null and size(embedding) = 64")
+    rows = _distinct_vectors(spark, sf).filter("file_id is not null and size(embedding) = 64")
     means = retrieval.mean_direction(rows)
     return means.select("file_id", F.posexplode("embedding").alias("pos", "value")).select("file_id", "pos", _six("value"))
 
@@ -87,7 +93,7 @@ def mean_direction(spark, sf):
 def similar_to_example(spark, sf):
     """X-6, PR-5, PR-7: the chunks most like every hundredth file as a whole, without the file's own."""
     rows = _chunk_vectors(spark, sf).filter("file_id is not null and size(embedding) = 64")
-    own = rows.filter(F.col("file_id") % EACH == 0)
+    own = catalog.clean_chunks(rows.filter(F.col("file_id") % EACH == 0))
     examples = retrieval.mean_direction(own).withColumnRenamed("file_id", "query_id")
     return batch_topk(rows, examples, 10, excluded=own.select(F.col("file_id").alias("query_id"), "chunk_id")).select("query_id", "chunk_id", _six("similarity"), "rank")
 
