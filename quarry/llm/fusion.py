@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from quarry.session import shared_folder
 
 #: The walk's share against uniform restarts. Nearer to 1, leading one score alone outweighs standing well in all.
 DAMPING = 0.7
 #: Rounds stop when no probability moves by more than this, relative to 1 / n.
 TOLERANCE = 1e-9
+#: Candidates of a query that one task ranks; larger queries are ranked by all tasks together, with the same result.
+MOST_IN_TASK = 500_000
+#: Stretches that the ranks of a larger query are cut into.
+STRETCHES = 200
 
 
 def rank_walk(scores: list[np.ndarray], weights: list[float], damping: float = DAMPING) -> np.ndarray:
@@ -56,14 +62,73 @@ def rank_walk(scores: list[np.ndarray], weights: list[float], damping: float = D
     return now
 
 
-def fuse_scores(candidates: DataFrame, queries: DataFrame, damping: float = DAMPING) -> DataFrame:
+def _above(items: DataFrame, score: str, value: Column) -> DataFrame:
+    """``query_id, <score>_at, <score>, through``: the sum of ``value`` over the items whose score is that level or better.
+
+    Items of a level are summed before anything is sorted; the levels of a stretch are added up in order, and the sums of
+    the stretches before it come from a table of a row a stretch.
+    """
+    place = f"{score}_at"
+    levels = items.filter(F.col(score).isNotNull()).groupBy("query_id", place, score).agg(F.sum(value).alias("own"))
+    inside = W.partitionBy("query_id", place).orderBy(F.desc(score))
+    sums = levels.groupBy("query_id", place).agg(F.sum("own").alias("own"))
+    before = sums.withColumn("before", F.sum("own").over(W.partitionBy("query_id").orderBy(place).rowsBetween(W.unboundedPreceding, -1))).select("query_id", place, F.coalesce("before", F.lit(0)).alias("before"))
+    running = levels.withColumn("through", F.sum("own").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return running.join(before, ["query_id", place]).select("query_id", place, score, (F.col("through") + F.col("before")).alias("through"), "own")
+
+
+def _higher_than(score: str):
+    return lambda x: x > F.col(score)
+
+
+def rank_walk_large(items: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = 200) -> DataFrame:
+    """``query_id, chunk_id, similarity, stationarity``: :func:`rank_walk` of large queries, by DataFrame operators.
+
+    ``items``: ``query_id, chunk_id, similarity, keyword, keyword_weight``, one row a candidate, NaN as null.
+    """
+    shared_folder(items.sparkSession)
+    scores = ("similarity", "keyword")
+    cuts = F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)])
+    facts = items.groupBy("query_id").agg(F.count("*").cast("double").alias("n"), *[F.count(c).alias(f"{c}_n") for c in scores], *[F.percentile_approx(c, cuts, 10_000).alias(f"{c}_cuts") for c in scores])
+    now = items.join(facts, "query_id")
+    weight = {"similarity": F.when(F.col("similarity_n") > 0, F.lit(1.0)).otherwise(0.0), "keyword": F.when(F.col("keyword_n") > 0, F.col("keyword_weight")).otherwise(0.0)}
+    total = weight["similarity"] + weight["keyword"]
+    for c in scores:  # higher scores are in lower stretches; equal ones in the same
+        now = now.withColumn(f"{c}_at", F.when(F.col(c).isNotNull(), F.size(F.filter(f"{c}_cuts", _higher_than(c))))).withColumn(f"{c}_weight", F.when(total > 0, weight[c] / total).otherwise(0.0))
+    now = now.select("query_id", "chunk_id", "n", *scores, *[f"{c}_at" for c in scores], *[f"{c}_weight" for c in scores], (F.lit(1.0) / F.col("n")).alias("p"))
+    stay = F.lit(0.0)
+    for c in scores:
+        counted = _above(now, c, F.lit(1.0)).select("query_id", f"{c}_at", c, (F.col("through") - F.col("own")).alias(f"{c}_above"))
+        counts = now.filter(F.col(c).isNotNull()).groupBy("query_id").agg(F.count("*").cast("double").alias(f"{c}_all"))
+        now = now.join(counted, ["query_id", f"{c}_at", c], "left").join(counts, "query_id", "left")
+        above = F.coalesce(f"{c}_above", f"{c}_all", F.lit(0.0))  # an item without a score has all that have it above it
+        stay = stay + F.col(f"{c}_weight") * (1 - above / F.col("n"))
+    nowhere = F.col("similarity_weight") + F.col("keyword_weight") == 0  # without any score the walk only restarts
+    now = now.withColumn("stay", stay).drop(*[f"{c}_{x}" for c in scores for x in ("above", "all")]).checkpoint()
+    for _ in range(rounds):
+        new = now
+        gain = F.col("p") * F.col("stay")
+        for c in scores:
+            through = _above(now, c, F.col("p")).select("query_id", f"{c}_at", c, F.col("through").alias(f"{c}_through"))
+            new = new.join(through, ["query_id", f"{c}_at", c], "left")
+            gain = gain + F.when(F.col(c).isNotNull(), F.col(f"{c}_weight") * (1 - F.col(f"{c}_through")) / F.col("n")).otherwise(0.0)
+        moved = F.when(nowhere, F.col("p")).otherwise((1 - damping) / F.col("n") + damping * gain)
+        new = new.withColumn("next", moved).drop(*[f"{c}_through" for c in scores]).checkpoint()
+        most = new.agg(F.max(F.abs(F.col("next") - F.col("p")) * F.col("n"))).first()[0]
+        now = new.withColumn("p", F.col("next")).drop("next")
+        if most is None or most < tolerance:
+            break
+    return now.select("query_id", "chunk_id", "similarity", F.col("p").alias("stationarity"))
+
+
+def fuse_scores(candidates: DataFrame, queries: DataFrame, damping: float = DAMPING, most_in_task: int = MOST_IN_TASK, tolerance: float = TOLERANCE) -> DataFrame:
     """``query_id, chunk_id, stationarity, position``: all candidates of each query, ranked by :func:`rank_walk`.
 
     Repeated candidates count once, with the best of their scores. Keyword scores of a query that are all negative carry
     the engine's sign and are turned round. A null ``keyword_weight`` is 1, one below 0 (or NaN) is 0; NaN scores are
     missing. A candidate without any score keeps its place by restarts only. Equal probabilities (to 12 digits) are
     ordered by similarity, then chunk id. Queries without a row in ``queries`` get weight 1; candidates with a null
-    query or chunk id are dropped.
+    query or chunk id are dropped. Queries of more than ``most_in_task`` candidates go through :func:`rank_walk_large`.
     """
     missing = lambda c: F.when(~F.isnan(c), F.col(c))
     once = (
@@ -88,4 +153,23 @@ def fuse_scores(candidates: DataFrame, queries: DataFrame, damping: float = DAMP
         return out
 
     kinds = {c: candidates.schema[c].dataType.simpleString() for c in ("query_id", "chunk_id")}
-    return weighted.groupBy("query_id").applyInPandas(walk, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, stationarity double, position int")
+    sizes = once.groupBy("query_id").agg(F.count("*").alias("rows"), F.max("high").alias("most")).filter(F.col("rows") > most_in_task)
+    large = [r["query_id"] for r in sizes.select("query_id").collect()]  # fewer than rows / most_in_task
+    small = weighted.filter(~F.col("query_id").isin(large)) if large else weighted
+    ranked = small.groupBy("query_id").applyInPandas(walk, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, stationarity double, position int")
+    if not large:
+        return ranked
+    signed = F.when(F.col("most") < 0, -F.col("low")).otherwise(F.col("high"))
+    items = weighted.filter(F.col("query_id").isin(large)).join(F.broadcast(sizes), "query_id").select("query_id", "chunk_id", "similarity", signed.alias("keyword"), "keyword_weight")
+    found = rank_walk_large(items, damping, tolerance)
+    count = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    key = F.round(F.col("stationarity") * F.col("n"), 12)
+    # Positions by stretches of the probability, as for the scores.
+    keyed = found.join(count, "query_id").withColumn("key", key)
+    cuts = F.percentile_approx("key", F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)]), 10_000)
+    placed = keyed.join(keyed.groupBy("query_id").agg(cuts.alias("cuts")), "query_id").withColumn("key_at", F.size(F.filter("cuts", _higher_than("key"))))
+    sums = placed.groupBy("query_id", "key_at").agg(F.count("*").alias("own"))
+    before = sums.withColumn("before", F.sum("own").over(W.partitionBy("query_id").orderBy("key_at").rowsBetween(W.unboundedPreceding, -1))).select("query_id", "key_at", F.coalesce("before", F.lit(0)).alias("before"))
+    inside = W.partitionBy("query_id", "key_at").orderBy(F.desc("key"), F.desc_nulls_last("similarity"), "chunk_id")
+    numbered = placed.withColumn("k", F.row_number().over(inside)).join(before, ["query_id", "key_at"])
+    return ranked.unionByName(numbered.select("query_id", "chunk_id", "stationarity", (F.col("k") + F.col("before")).cast("int").alias("position")))

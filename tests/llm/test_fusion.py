@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quarry.llm.fusion import fuse_scores, rank_walk
+from quarry.llm.fusion import fuse_scores, rank_walk, rank_walk_large
 
 RESULTS, QUERIES = "query_id long, chunk_id long, similarity double, keyword_score double, position string", "query_id long, keyword_weight double"
 NAN = float("nan")
@@ -56,3 +56,32 @@ def test_table(spark):
     assert sorted(r["position"] for r in got if r["query_id"] == 1) == [1, 2, 3, 4, 5]
     empty = spark.createDataFrame([], RESULTS)
     assert fuse_scores(empty, spark.createDataFrame(weights, QUERIES)).count() == 0
+
+
+def test_large_queries_walk_alike(spark):
+    """Two rounds of the distributed walk against two rounds of the whole matrix."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 9, 40).astype(float), rng.integers(1, 6, 40).astype(float)
+    a[rng.random(40) < 0.2], b[rng.random(40) < 0.5] = NAN, NAN
+    none = lambda x: None if np.isnan(x) else float(x)
+    rows = [(1, i, none(x), none(y), 0.5) for i, (x, y) in enumerate(zip(a, b))] + [(2, 0, None, None, 1.0), (2, 1, None, None, 1.0), (3, 0, 0.5, None, 2.0), (3, 1, 0.7, None, 2.0)]
+    items = spark.createDataFrame(rows, "query_id long, chunk_id long, similarity double, keyword double, keyword_weight double")
+    got = {(r["query_id"], r["chunk_id"]): r["stationarity"] for r in rank_walk_large(items, 0.7, rounds=2).collect()}
+    n, walk = 40, np.zeros((40, 40))
+    for s, w in ((a, 1 / 1.5), (b, 0.5 / 1.5)):
+        for i in range(n):
+            above = (s > s[i]) if not np.isnan(s[i]) else ~np.isnan(s)
+            walk[i, above] += w / n
+            walk[i, i] += w * (1 - above.sum() / n)
+    want = np.full(n, 1 / n)
+    for _ in range(2):
+        want = 0.3 / n + 0.7 * want @ walk
+    assert [got[1, i] for i in range(n)] == pytest.approx(want.tolist())
+    assert got[2, 0] == got[2, 1] == 0.5 and got[3, 1] > got[3, 0]
+
+
+def test_large_queries_get_positions(spark):
+    rows = [(1, i, 0.5 + i / 100, float(i % 3) if i % 2 else None, None) for i in range(12)] + [(2, 1, 0.4, None, None)]
+    frame = fuse_scores(spark.createDataFrame(rows, RESULTS), spark.createDataFrame([(1, 1.0)], QUERIES), most_in_task=5, tolerance=1e9)
+    got = {(r["query_id"], r["position"]): r["chunk_id"] for r in frame.collect()}
+    assert sorted(p for q, p in got if q == 1) == list(range(1, 13)) and got[1, 1] == 11 and got[2, 1] == 1
