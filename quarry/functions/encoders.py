@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.functions import vectors
+
 
 class ModelSource(Protocol):
     """X-5, SRC-14: where a model's files are."""
@@ -122,8 +124,7 @@ def bag_of_words(text: Column, dimensions: int = 64) -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     buckets = F.transform(words, lambda w: (F.conv(F.substring(F.sha2(w.cast("binary"), 256), 1, 2), 16, 10).cast("int") % dimensions))
     counts = F.aggregate(buckets, F.array_repeat(F.lit(0.0), dimensions), lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(counts, lambda x: x / length)).otherwise(counts)
+    return vectors.let(counts, vectors.normalized)
 
 
 def bag_of_words_table(rows: DataFrame, key: str, text: str = "text", dimensions: int = 64) -> DataFrame:

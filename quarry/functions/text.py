@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from quarry.functions.vectors import let
+
 #: Endings by kind of file; everything else is text.
 ENDINGS = {
     "image": ("jpg", "jpeg", "png", "gif", "webp", "bmp", "tif", "tiff", "jfif"),
@@ -148,15 +150,17 @@ def indentation(line: Column) -> Column:
 def numbered_lines(start_line: Column, text: Column) -> Column:
     """S-8: ``array<struct<line_number, line>>``: right ends trimmed, shared indent dropped, long lines cut with an ellipsis."""
     trimmed = F.transform(lines(text), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    indents = F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1)))
-    shared = F.coalesce(F.array_min(indents), F.lit(0))
 
-    def shown(x: Column, i: Column) -> Column:
+    def numbered(rows: Column) -> Column:
+        indents = F.transform(F.filter(rows, lambda x: x != ""), lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1)))
+        return let(F.coalesce(F.array_min(indents), F.lit(0)), lambda shared: F.transform(rows, lambda x, i: shown(x, i, shared)))
+
+    def shown(x: Column, i: Column, shared: Column) -> Column:
         rest = F.substr(x, shared + 1)
         cut = F.when(F.length(rest) > SHOWN_CHARACTERS, F.concat(F.substring(rest, 1, SHOWN_CHARACTERS), F.lit("…"))).otherwise(rest)
         return F.struct((start_line + i).alias("line_number"), cut.alias("line"))
 
-    return F.transform(trimmed, shown)
+    return let(trimmed, numbered)
 
 
 def describe_skip(reason: Column) -> Column:

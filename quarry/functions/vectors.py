@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, even if the body names it in a lambda over many elements."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     """V-1: the inner product, added up in double from the first element on; null for different lengths."""
     product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -17,7 +22,12 @@ def norm(a: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """Of length one; a zero vector stays as it is."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+    def divided(length: Column) -> Column:
+        divisor = F.when(length > 0, length).otherwise(1.0)
+        return F.transform(a, lambda x: x.cast("double") / divisor)
+
+    return let(norm(a), divided)
 
 
 def truncate_and_normalize(a: Column, dimensions: int) -> Column:

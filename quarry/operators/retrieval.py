@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.functions import segments, text, vectors
+from quarry.session import shared_folder
 
 #: Candidates a retriever gives; the constant of reciprocal rank fusion; ranks the cliff is looked for in
 #: and the drop it needs, in spreads; BM25's constants and least inverse document frequency.
@@ -74,14 +75,19 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id")
 
     N and the mean length count all rows of ``chunks``, also those without text; the words are matched folded. Only
     words of some query are kept before anything is shuffled, and N and the lengths come from one pass over the texts.
-    Queries without a word of two characters match nothing.
+    Queries without a word of two characters match nothing. Repeated rows of an id are copies of one text and count once:
+    ids and numbers are shuffled for that, not texts.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(text.query_terms(F.col("query_text")), text.folded))).alias("term"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(text.query_terms(F.col("query_text")), text.folded))).alias("term")).distinct()
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    tokens = chunks.select(key, F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("words")).withColumn("length", F.size("words"))
-    corpus = tokens.agg(F.count("*").cast("double").alias("n_rows"), F.avg("length").alias("mean_length"))
     vocabulary = terms.select("term").distinct()
-    hits = tokens.select(key, "length", F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", key, "length").agg(F.count("*").cast("double").alias("tf"))
+    words = F.coalesce(text.words(F.col("text")), F.array().cast("array<string>"))
+    tokens = chunks.filter(F.col(key).isNotNull()).select(key, words.alias("words"))
+    lengths = tokens.groupBy(key).agg(F.max(F.size("words")).alias("length"), F.count("*").alias("copies"))
+    corpus = lengths.agg(F.count("*").cast("double").alias("n_rows"), F.avg("length").alias("mean_length"))
+    found = tokens.select(key, F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", key).agg(F.count("*").alias("times"))
+    shared_folder(chunks.sparkSession)
+    hits = found.join(lengths, key).select("term", key, "length", (F.col("times") / F.col("copies")).alias("tf")).checkpoint()  # words of queries only; read twice
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weighted = df.crossJoin(F.broadcast(corpus))  # one row
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))

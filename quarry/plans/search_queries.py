@@ -113,7 +113,7 @@ def token_stats(spark, sf):
 
 
 def _keyword_scores(spark, sf) -> DataFrame:
-    return retrieval.keyword_scores(_chunks(spark, sf).select("chunk_id", "text"), table(spark, sf, "search_queries").select("query_id", "query_text"))
+    return retrieval.keyword_scores(table(spark, sf, "chunks").select("chunk_id", "text"), table(spark, sf, "search_queries").select("query_id", "query_text"))
 
 
 def keyword_match_all(spark, sf):
