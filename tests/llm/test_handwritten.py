@@ -77,5 +77,7 @@ def test_notices_are_hidden_from_the_measures():
     assert (tool, others, kept) == (True, False, ["x = 1"])
     assert notices(["/*! lib 1.2 */var a=1"])[1:] == (True, ["var a=1"])
     assert notices(["# Copyright the owners of this repository. Internal use."])[:2] == (False, False)
+    assert notices(["# ref 0.576", "// see kettle 2.4.1"])[:2] == (False, False)
+    assert notices(["-- zib 2.4.1 | all of it"])[:2] == (False, True)
     assert notices(['print("Code generated by me")'])[:2] == (False, False)
     assert measure([""])[0] == 0
