@@ -32,7 +32,7 @@ class Settings:
     most_lists: int = 2048
     #: Width of the error bound in standard deviations of the estimate.
     bound: float = 3.5
-    #: Rows of a list compared at once; larger lists are cut into blocks.
+    #: Members and queries of a list that meet in one task; larger lists are cut into blocks of either.
     member_block: int = 8192
     query_block: int = 16384
     seed: int = 7
@@ -144,11 +144,13 @@ def search_list(query_ids, queries, member_ids, members, centroid, turn, k, floo
 class Index:
     """Centroids by vector length, and the blocks their lists are cut into."""
 
-    def __init__(self, sample: dict[int, np.ndarray], counts: dict[int, int], settings: Settings):
+    def __init__(self, sample: dict[int, np.ndarray], counts: dict[int, int], settings: Settings, asking: float = 1.0):
+        """``asking`` is the share of the rows that are searched for."""
         self.settings = settings
         self.centroids: dict[int, np.ndarray] = {}
         self.turns: dict[int, np.ndarray] = {}
         self.blocks: dict[int, np.ndarray] = {}
+        self.query_blocks: dict[int, np.ndarray] = {}
         self.base: dict[int, int] = {}
         lists = 0
         for dimensions, rows in sorted(counts.items()):
@@ -158,6 +160,9 @@ class Index:
             sizes = np.bincount((matrix @ centroids.T).argmax(1), minlength=len(centroids)) * (rows / max(1, len(matrix)))
             self.centroids[dimensions], self.turns[dimensions] = centroids, rotation(dimensions, settings.seed)
             self.blocks[dimensions] = np.maximum(1, np.ceil(sizes / settings.member_block)).astype(np.int64)
+            # A list near the middle of everything may be visited by all queries, however few members it has.
+            visits = np.bincount(self.nearest(matrix, settings.probes).ravel(), minlength=len(centroids)) * (rows * asking / max(1, len(matrix)))
+            self.query_blocks[dimensions] = np.maximum(1, np.ceil(visits / settings.query_block)).astype(np.int64)
             self.base[dimensions] = lists
             lists += len(centroids)
         self.lists = lists
@@ -175,7 +180,7 @@ class Index:
         return dimensions, number - self.base[dimensions]
 
 
-def fit_index(vectors: DataFrame, settings: Settings) -> Index:
+def fit_index(vectors: DataFrame, settings: Settings, wanted=None) -> Index:
     """Fits centroids on at most ``settings.sample`` rows, drawn alike from every length of vector by a hash of the id."""
     counted = vectors.groupBy(F.size("vector").alias("dimensions")).count().collect()  # as many rows as there are lengths
     counts = {r["dimensions"]: r["count"] for r in counted}
@@ -185,13 +190,14 @@ def fit_index(vectors: DataFrame, settings: Settings) -> Index:
     for dimensions, rows in counts.items():
         share = F.when(F.size("vector") == dimensions, F.lit(min(1.0, max(settings.sample / total, min(2000, settings.sample) / rows)))).otherwise(share)
     drawn = F.pmod(F.xxhash64("id", F.lit(settings.seed)), F.lit(1 << 30)) < share * (1 << 30)
-    sample = vectors.filter(drawn).select("id", "vector").toArrow().combine_chunks()
+    sample = vectors.filter(drawn).select("id", "vector", (F.lit(True) if wanted is None else wanted).alias("asks")).toArrow().combine_chunks()
     if not len(sample):
         return Index({}, counts, settings)
+    asking = (sample.column("asks").to_numpy().sum() + 1) / (len(sample) + 1)
     column = sample.column("vector").chunk(0).take(pa.array(np.argsort(sample.column("id").to_numpy(), kind="stable")))
     sizes, values = np.diff(column.offsets.to_numpy()), column.values.to_numpy()
     of_value = np.repeat(sizes, sizes)
-    return Index({int(d): values[of_value == d].reshape(-1, d) for d in np.unique(sizes)}, counts, settings)
+    return Index({int(d): values[of_value == d].reshape(-1, d) for d in np.unique(sizes)}, counts, settings, asking)
 
 
 def usable_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -206,10 +212,11 @@ def nearest_neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embe
     ``queries`` is a condition on ``id`` that chooses the rows to search for; every row is searched in. Repeated rows
     of an id count once; null, all-zero and non-finite vectors have no neighbours; vectors of different lengths never
     meet. Ties go to the lower id. One shuffle brings members and queries of a list together; lists over
-    ``member_block`` rows are cut into blocks, their queries too, so no list is gathered in one task.
+    ``member_block`` rows or ``query_block`` visits are cut into blocks of members and of queries, so none is gathered in
+    one task.
     """
     vectors = usable_vectors(df, key, vector)
-    index = fit_index(vectors, settings)
+    index = fit_index(vectors, settings, queries)
     shared = df.sparkSession.sparkContext.broadcast(index)
     wanted = F.lit(True) if queries is None else queries
 
@@ -224,7 +231,7 @@ def nearest_neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embe
                 rows = np.flatnonzero(sizes == dimensions)
                 matrix = unit(values[(offsets[rows][:, None] + np.arange(dimensions)[None, :])])
                 near = index.nearest(matrix, settings.probes)
-                blocks, base = index.blocks[dimensions], index.base[dimensions]
+                blocks, parts, base = index.blocks[dimensions], index.query_blocks[dimensions], index.base[dimensions]
                 home = near[:, 0]
                 salt = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 out_rows, out_list, out_member, out_query, out_role = [], [], [], [], []
@@ -233,12 +240,11 @@ def nearest_neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embe
                     out_rows.append(row), out_list.append(number), out_member.append(member), out_query.append(query)
                     out_role.append(np.full(len(row), role, np.int8))
 
-                # Blocks of queries: as many as blocks of members, so both sides of a hot list are cut.
                 # In a list of one block a row that asks is its own query as well, and isn't sent twice.
                 asks_here = asks[rows]
-                both = asks_here & (blocks[home] == 1)
-                for q in range(int(blocks[home].max())):
-                    here = np.flatnonzero((blocks[home] > q) & ~both)
+                both = asks_here & (blocks[home] == 1) & (parts[home] == 1)
+                for q in range(int(parts[home].max())):
+                    here = np.flatnonzero((parts[home] > q) & ~both)
                     add(here, home[here], (salt[here] % blocks[home[here]].astype(np.uint64)).astype(np.int64), np.full(len(here), q), MEMBER)
                 here = np.flatnonzero(both)
                 add(here, home[here], np.zeros(len(here), np.int64), np.zeros(len(here), np.int64), MEMBER | QUERY)
@@ -247,7 +253,7 @@ def nearest_neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embe
                     number = near[asking, p]
                     for m in range(int(blocks[number].max()) if len(number) else 0):
                         here = np.flatnonzero(blocks[number] > m)
-                        add(asking[here], number[here], np.full(len(here), m), (salt[asking[here]] % blocks[number[here]].astype(np.uint64)).astype(np.int64), QUERY)
+                        add(asking[here], number[here], np.full(len(here), m), (salt[asking[here]] % parts[number[here]].astype(np.uint64)).astype(np.int64), QUERY)
                 row = np.concatenate(out_rows)
                 packed = matrix[row].tobytes()
                 width = dimensions * 4

@@ -41,9 +41,10 @@ def test_blocks_of_hot_lists_change_nothing(spark):
     vectors = clustered(1, 900)
     frame = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(vectors)], SCHEMA)
     one = nb.Settings(probes=3, list_size=300)
-    cut = nb.Settings(probes=3, list_size=300, member_block=60)
+    cut = nb.Settings(probes=3, list_size=300, member_block=60, query_block=100)
     rows = lambda s: {(r["id"], r["neighbour"]) for r in nb.nearest_neighbours(frame, settings=s, floor=0.3).collect()}
     assert rows(one) == rows(cut)
+    assert rows(one) == rows(nb.Settings(probes=3, list_size=300, query_block=50))
 
 
 def test_dirty_rows(spark):
