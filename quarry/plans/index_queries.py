@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -214,7 +213,7 @@ def plan_batches(spark, sf):
 
 def incremental_index(spark, sf):
     """ST-4: three runs over what arrived by three days; the numbers are microseconds of arrival and a hash of the row."""
-    folder = os.path.join(shared_folder(spark).replace("file://", "", 1) if shared_folder(spark).startswith("file:/") else shared_folder(spark), "incremental", next(tempfile._get_candidate_names()))
+    folder = f"{shared_folder(spark).rstrip('/')}/incremental-{uuid4()}"
     ledger = Ledger(spark, folder)
     rows = table(spark, sf, "file_sightings").filter("arrived_at is not null").dropDuplicates()
     rows = rows.withColumn("number", F.pmod(F.xxhash64("scan_id", "path", "seen_at", "arrived_at", "content_hash", "size"), F.lit(1 << 40)))
