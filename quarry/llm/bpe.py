@@ -25,6 +25,11 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 #: Only plain spaces open a new run, as the libraries differ about the rarer ones.
 _RUN = re.compile(r"\s*\S+(?:(?![ \t\r\n])\s+\S*)*|\s+")
 
+_BETWEEN_RUNS = re.compile(r"(?<=\S)[ \t\r\n]")
+
+#: Characters taken apart at once.
+AT_ONCE = 2_000_000
+
 #: Words longer than this stay out of the trie, so that it can't fill with texts without spaces.
 LONGEST_SHARED_WORD = 64
 
@@ -36,6 +41,16 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _cut(text: str, most: int) -> list[str]:
+    """The text in parts of about ``most`` characters that end between two runs; one part if there is no such place."""
+    parts, start = [], 0
+    while len(text) - start > most and (cut := _BETWEEN_RUNS.search(text, start + most)):
+        parts.append(text[start : cut.start()])
+        start = cut.start()
+    parts.append(text[start:] if start else text)
+    return parts
+
+
 class TrieEncoder:
     """Encodes texts by the vocabulary file ``path`` (JSON with ``model.vocab`` and ``model.merges``).
 
@@ -195,9 +210,26 @@ class TrieEncoder:
         if collecting:
             gc.enable()
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as packed 32-bit integers; empty for empty and for null texts."""
-        runs = [_RUN.findall(text) if text else () for text in texts]
+    def encode_batch(self, texts: list[str | None], most_characters: int = AT_ONCE) -> list[bytes]:
+        """The ids of each text as packed 32-bit integers; empty for empty and for null texts.
+
+        About ``most_characters`` are taken apart at once, longer texts in parts that end between two runs.
+        """
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for part in _cut(text, most_characters) if text else ():
+                waiting.append((i, part))
+                size += len(part)
+                if size >= most_characters:
+                    self._encode(waiting, out)
+                    waiting, size = [], 0
+        self._encode(waiting, out)
+        return [own[0] if len(own) == 1 else b"".join(own) for own in out]
+
+    def _encode(self, parts: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        runs = [_RUN.findall(part) for _, part in parts]
         cache = self._runs
         if len(cache) > self._most:
             cache.clear()
@@ -206,14 +238,15 @@ class TrieEncoder:
         new = {run for own in runs for run in own if run not in cache}
         if new:
             split, known = self._split.findall, self._words
-            parts = {run: split(run) for run in new}
-            unseen = {w for own in parts.values() for w in own if w not in known}
+            words = {run: split(run) for run in new}
+            unseen = {w for own in words.values() for w in own if w not in known}
             if unseen:
                 self.learn(list(unseen))
-            for run, own in parts.items():
+            for run, own in words.items():
                 cache[run] = b"".join([known[w] for w in own])
         get = cache.__getitem__
-        return [b"".join(map(get, own)) for own in runs]
+        for (i, _), own in zip(parts, runs):
+            out[i].append(b"".join(map(get, own)))
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}

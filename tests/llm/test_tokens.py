@@ -38,6 +38,13 @@ def test_same_ids_as_another_library(text):
     assert ids(text, SMALL_CACHE) == ids(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(ALPHABET), max_size=50), max_size=5), st.integers(1, 20))
+def test_parts_change_nothing(texts, most):
+    got = OURS.encode_batch([None, *texts, ""], most_characters=most)
+    assert [np.frombuffer(g, "<i4").tolist() for g in got] == [[], *[REFERENCE.encode_ordinary(t) for t in texts], []]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_comes_back(text):
