@@ -303,3 +303,6 @@ SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6)
     "recall_at_1": f"{_LABELS} SELECT expected, count(*) AS queries, round(avg((label = expected)::INT), 6) AS recall FROM near WHERE rank = 1 GROUP BY 1",
     "margins": f"{_LABELS} SELECT query_id, round(coalesce(max(similarity) FILTER (label = expected), -1) - coalesce(max(similarity) FILTER (label <> expected), -1), 6) AS margin FROM near GROUP BY 1",
 }
+# A rounded negative zero is a plain one, as in Spark.
+for _name, _column in (("standard_score", "standard_score"), ("truncate_normalize", "value"), ("mean_direction", "value"), ("margins", "margin"), ("similarity_percentiles", "similarity"), ("background_stats", "mean")):
+    SQL[_name] = f"SELECT * REPLACE ({_column} + 0::DOUBLE AS {_column}) FROM ({SQL[_name]})"
