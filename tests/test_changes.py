@@ -128,3 +128,28 @@ def test_ledger_survives_failures_and_late_records(spark, tmp_path):
     assert ledger.run(rows(1, 2, 3, 4, 5, 6), "n", lambda d: d) == 2
     assert sorted(r["n"] for r in ledger.output().collect()) == [1, 2, 3, 4, 5, 6]
     assert [(r["low"], r["high"]) for r in ledger.processed().collect()] == [(1, 6)]
+
+
+def test_runs_are_taken_by_the_ledger(spark, tmp_path, monkeypatch):
+    files = [(1, "kept", 1, 0, "a", at(-9)), (2, "gone", 1, 0, "g", at(-9))]
+    runs = [run(10, 0), run(20, 5), run(30, 10), run(40, 20)]
+    seen = [sighting(10, "kept", "a", 0), sighting(10, "gone", "g", 0), sighting(20, "kept", None, 5), sighting(40, "kept", "a", 20), sighting(40, "gone", "h", 20)]  # run 30 saw nothing
+    own, folder = tables(spark, files, runs, seen), str(tmp_path / "c")
+    commit, taken = Ledger._commit, []
+
+    def failing(ledger, version):
+        taken.append(version)
+        if len(taken) == 3:
+            raise OSError("lost")
+        commit(ledger, version)
+
+    monkeypatch.setattr(Ledger, "_commit", failing)
+    with pytest.raises(OSError):
+        changes.paths_to_process(*own, folder)
+    found = changes.paths_to_process(*own, folder)
+    assert taken == [1, 2, 3, 3, 4]
+    assert sorted(tuple(r) for r in found.collect()) == [(40, "gone"), (40, "kept")]
+    ledger = Ledger(spark, f"{folder}/ledger")
+    assert [(r["low"], r["high"]) for r in ledger.processed().orderBy("low").collect()] == [(0, 2), (4, 4)]
+    window = changes.content_intervals(*own).filter("from_number > 0").select("path", "from_number").collect()
+    assert sorted(tuple(r) for r in window) == [("gone", 4), ("kept", 4)]
