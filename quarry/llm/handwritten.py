@@ -128,7 +128,8 @@ def measure_chunks(chunks: DataFrame, current: DataFrame) -> DataFrame:
 
     A pass over the texts by Arrow batches, added up within each batch before anything is shuffled, then once more by
     Spark. Exact repeats of a chunk count as often as they occur. Null and blank texts are left out, and
-    chunks of another kind than text (a missing kind may be text).
+    chunks of another kind than text (a missing kind may be text). A chunk's lines begin at the lower of its two line
+    numbers, as they may be swapped; without ``start_line`` it may be the first.
     """
 
     wanted = chunks.sparkSession.sparkContext.broadcast(wanted_files(current))
@@ -157,9 +158,12 @@ def measure_chunks(chunks: DataFrame, current: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], columns)
 
     text = F.col("text")
+    begins = F.coalesce("start_line", F.lit(1))
+    if "end_line" in chunks.columns:
+        begins = F.least(begins, "end_line")
     textual = F.coalesce(F.lower("kind") == "text", F.lit(True))
     rows = chunks.filter(textual & F.col("file_id").isNotNull() & text.rlike(r"\S")).select(
-        F.col("file_id").cast("long"), is_oversized(text).alias("big"), (F.coalesce("start_line", F.lit(1)) <= HEADER_LINES).alias("head"), "text",
+        F.col("file_id").cast("long"), is_oversized(text).alias("big"), (begins <= HEADER_LINES).alias("head"), "text",
         F.pmod(F.xxhash64(F.col("file_id").cast("long")), F.lit(WANTED_BITS)).alias("place"),
     )
     numbers = ", ".join(f"{c} double" for c in ("n_chunks", "tool", "others", *MEASURES))

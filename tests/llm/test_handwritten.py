@@ -81,3 +81,12 @@ def test_notices_are_hidden_from_the_measures():
     assert notices(["-- zib 2.4.1 | all of it"])[:2] == (False, True)
     assert notices(['print("Code generated by me")'])[:2] == (False, False)
     assert measure([""])[0] == 0
+
+
+def test_swapped_line_numbers_hide_no_header(spark):
+    notice = "# Code generated by t. DO NOT EDIT.\n"
+    files = spark.createDataFrame([(i, f"/a/x{i}.py", dt.datetime(2026, 1, 1), None) for i in range(1, 5)], FILES)
+    rows = [(1, 1, "text", 23, 1, notice + "x = 1"), (2, 2, "text", 30, 40, notice + "x = 1"), (3, 3, "text", None, 24, notice + "x = 1"), (4, 4, "text", 23, None, notice + "x = 1")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, file_id long, kind string, start_line int, end_line int, text string")
+    got = {r["file_id"]: (r["tool"], r["n_lines"]) for r in file_features(chunks, files).collect()}
+    assert got == {1: (True, 1), 2: (False, 2), 3: (True, 1), 4: (False, 2)}
