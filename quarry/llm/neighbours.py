@@ -109,6 +109,13 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 
 def search_list(query_ids, queries, member_ids, members, centroid, turn, k, floor, bound) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of one list: (query id, member id, similarity) of the ``k`` best members of each query, at least ``floor``."""
+    # Repeated rows of an id lie side by side: the limit is taken over ids, and an id takes one place.
+    by_id = np.argsort(member_ids, kind="stable")
+    if (member_ids[by_id[1:]] == member_ids[by_id[:-1]]).any():
+        member_ids, members = member_ids[by_id], members[by_id]
+        starts = np.flatnonzero(np.r_[True, member_ids[1:] != member_ids[:-1]])
+    else:
+        starts = np.arange(len(member_ids))
     codes = Codes(members, centroid, turn)
     rows = max(1, 400_000 // len(members))
     for start in range(0, len(queries), rows):
@@ -116,9 +123,11 @@ def search_list(query_ids, queries, member_ids, members, centroid, turn, k, floo
         at, error = codes.estimate(part, centroid, turn)
         error *= bound
         least = np.full(len(part), floor, np.float32)
-        if floor <= -1 and len(members) > k + 1:
+        if floor <= -1 and len(starts) > k + 1:
             lower = at - error
-            least = np.partition(lower, len(members) - k - 1, axis=1)[:, len(members) - k - 1]  # one of the k + 1 may be the query
+            if len(starts) < len(members):
+                lower = np.maximum.reduceat(lower, starts, axis=1)
+            least = np.partition(lower, len(starts) - k - 1, axis=1)[:, len(starts) - k - 1]  # one of the k + 1 may be the query
         at += error
         hit = at >= least[:, None]
         if hit.mean() > 0.05:  # so many must be compared that the whole block is cheaper
@@ -132,10 +141,12 @@ def search_list(query_ids, queries, member_ids, members, centroid, turn, k, floo
             a, b, similar = a[keep], b[keep], similar[keep]
         other = ids[a] != member_ids[b]
         a, b, similar = a[other], b[other], similar[other]
-        order = np.lexsort((member_ids[b], -similar, a))
+        order = np.lexsort((-similar, member_ids[b], a))
         a, b, similar = a[order], b[order], similar[order]
         fresh = np.r_[True, (a[1:] != a[:-1]) | (member_ids[b[1:]] != member_ids[b[:-1]])] if len(a) else np.zeros(0, bool)
         a, b, similar = a[fresh], b[fresh], similar[fresh]
+        order = np.lexsort((member_ids[b], -similar, a))
+        a, b, similar = a[order], b[order], similar[order]
         first = np.searchsorted(a, a, side="left")
         best = np.arange(len(a)) - first < k
         yield ids[a[best]], member_ids[b[best]], similar[best]

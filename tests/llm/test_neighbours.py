@@ -66,3 +66,20 @@ def test_bounds_hold():
     off = np.abs(at - queries @ members.T)
     assert off.mean() < 0.12 and (off <= 3.5 * error + 0.02).mean() > 0.995
     assert np.allclose(turn @ turn.T, np.eye(64), atol=1e-4)
+
+
+def test_repeated_rows_take_one_place():
+    vectors = nb.unit(clustered(5, 500))
+    similar, top = truth(vectors, 10)
+    near = int(top[0][0])
+    ids = np.r_[np.arange(500), np.full(300, near), np.zeros(40, np.int64)]
+    members = np.r_[vectors, np.repeat(vectors[near][None], 300, 0), np.repeat(vectors[:1], 40, 0)]
+    centroid, turn = nb.unit(vectors.mean(0)[None])[0], nb.rotation(64, 7)
+    for floor in (-1.0, 0.0):
+        found = list(nb.search_list(np.arange(20), vectors[:20], ids, members, centroid, turn, 10, floor, 3.5))
+        a, b, s = (np.concatenate([f[i] for f in found]) for i in range(3))
+        assert all(set(b[a == q]) == set(top[q]) and len(b[a == q]) == 10 for q in range(20))
+    # Other rows of the same id, less similar, take no place either.
+    other = np.r_[members, nb.unit(vectors[top[0]] + 0.05)]
+    found = list(nb.search_list(np.zeros(1, np.int64), vectors[:1], np.r_[ids, top[0]], other, centroid, turn, 10, -1.0, 3.5))
+    assert len(set(found[0][1])) == 10
