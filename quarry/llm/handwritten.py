@@ -62,6 +62,8 @@ FEATURES = (
     "compression", "entropy", "name_length", "short_share", "comment_density", "line_length", "literal_share", "digit_share", "space_share", "form_share", "prose_share",
     "in_vendored", "in_generated", "named_generated", "named_minified", "named_version",
 )
+#: Before the names of measures and features over all texts of a file, and how many features have such a twin.
+WHOLE, MEASURED = "whole_", 11
 
 
 def notices(lines: list[str]) -> tuple[bool, bool, list[str]]:
@@ -179,27 +181,33 @@ def _matches(column: Column, values: tuple[str, ...]) -> Column:
 def file_features(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """``file_id, path, tool, others, <features>`` of each source-code file that has texts.
 
-    Texts over the size limits of a chunk say little about a file (they may be pasted in), so they count only where a
-    file has no others. Of several rows of a file the latest holds.
+    Features stand twice: once without texts over the size limits of a chunk, which may be pasted in, where a file has
+    others, and once, with ``whole_`` before their names, over all its texts. ``mixed`` files have both kinds of texts.
+    Of several rows of a file the latest holds.
     """
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     current = files.filter(F.col("path").isNotNull() & F.col("file_id").isNotNull()).groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.max_by("path", F.struct("recorded_at", "path")).alias("path")).filter(extension.isin(*SOURCE))
     measured = measure_chunks(chunks, current)
     has = F.sum(F.when(F.col("regular"), F.col("n_chunks")).otherwise(0))
     pick = [F.coalesce(F.max(F.when(F.col("regular"), F.col(c))), F.max(c)).alias(c) for c in MEASURES]
-    by_file = measured.groupBy("file_id").agg(F.max("tool").alias("tool"), F.max("others").alias("others"), has.alias("regular_chunks"), *pick)
-    part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1.0))
+    pick += [(F.max(c) if c == "longest" else F.sum(c)).alias(f"whole_{c}") for c in MEASURES]
+    by_file = measured.groupBy("file_id").agg(F.max("tool").alias("tool"), F.max("others").alias("others"), ((has > 0) & (has < F.sum("n_chunks"))).alias("mixed"), *pick)
     name = F.lower(F.substring_index("path", "/", -1))
     flag = lambda c: c.cast("double")
-    features = {
-        "compression": part("packed", "n_bytes"), "entropy": part("token_bits", "tokens"), "name_length": part("name_chars", "names"), "short_share": part("short_names", "names"),
-        "comment_density": part("comments", "n_lines"), "line_length": part("chars", "n_lines"), "literal_share": part("literal_chars", "chars"), "digit_share": part("digits", "chars"),
-        "space_share": part("spaces", "n_bytes"), "form_share": part("forms", "n_lines"), "prose_share": part("prose_chars", "chars"),
+    features = {}
+    for w in ("", WHOLE):
+        part = lambda a, b: F.col(w + a) / F.greatest(F.col(w + b), F.lit(1.0))  # noqa: E731, B023
+        features |= {w + f: c for f, c in {
+            "compression": part("packed", "n_bytes"), "entropy": part("token_bits", "tokens"), "name_length": part("name_chars", "names"), "short_share": part("short_names", "names"),
+            "comment_density": part("comments", "n_lines"), "line_length": part("chars", "n_lines"), "literal_share": part("literal_chars", "chars"), "digit_share": part("digits", "chars"),
+            "space_share": part("spaces", "n_bytes"), "form_share": part("forms", "n_lines"), "prose_share": part("prose_chars", "chars"),
+        }.items()}
+    features |= {
         "in_vendored": flag(_matches(F.col("path"), VENDORED_FOLDERS)), "in_generated": flag(_matches(F.col("path"), GENERATED_FOLDERS)),
         "named_generated": flag(name.rlike(GENERATED_NAME)), "named_minified": flag(name.rlike(MINIFIED_NAME)), "named_version": flag(name.rlike(VERSION_NAME)),
     }
     joined = by_file.join(current, "file_id")
-    return joined.select("file_id", "path", (F.col("tool") > 0).alias("tool"), (F.col("others") > 0).alias("others"), "n_lines", "n_bytes", *[features[f].alias(f) for f in FEATURES])
+    return joined.select("file_id", "path", (F.col("tool") > 0).alias("tool"), (F.col("others") > 0).alias("others"), "n_lines", "n_bytes", "mixed", *[c.alias(f) for f, c in features.items()])
 
 
 #: Rows the forest is fitted on at most, drawn from the labelled files by a hash of the id.
@@ -212,10 +220,16 @@ PROSE = "prose_share >= 0.5 and form_share >= 0.6"
 DATA = "literal_share >= 0.5"
 
 
-def label(features: DataFrame) -> DataFrame:
-    """Adds ``label``: 1 for a header notice, or literals for the greater part; 0 for ordinary shape or prose without any mark; else null."""
+def label(features: DataFrame, *twins: str) -> DataFrame:
+    """Adds ``label``: 1 for a header notice, or literals for the greater part; 0 for ordinary shape or prose without any mark; else null.
+
+    For each of ``twins``, what is before the names of other measures of the same files, a label by these as well.
+    """
     marked = "in_vendored + in_generated + named_generated + named_minified + named_version > 0"
-    return features.withColumn("label", F.expr(f"CASE WHEN tool OR others OR ({DATA}) THEN 1.0 WHEN NOT ({marked}) AND (({ORDINARY}) OR ({PROSE})) THEN 0.0 END"))
+    for w in ("", *twins):
+        ordinary, prose, data = (re.sub(r"\b[a-z]+_(?:share|length)\b", lambda m: w + m.group(), x) for x in (ORDINARY, PROSE, DATA))  # noqa: B023
+        features = features.withColumn(f"{w}label", F.expr(f"CASE WHEN tool OR others OR ({data}) THEN 1.0 WHEN NOT ({marked}) AND (({ordinary}) OR ({prose})) THEN 0.0 END"))
+    return features
 
 
 def judge(features: DataFrame, trees: int = 40, depth: int = 8, most: int = MOST_LABELLED, seed: int = 5) -> DataFrame:
@@ -229,15 +243,23 @@ def judge(features: DataFrame, trees: int = 40, depth: int = 8, most: int = MOST
     from pyspark.ml.functions import vector_to_array
 
     shared_folder(features.sparkSession)
-    labelled = label(features).checkpoint()  # a row a source file: a few numbers each, read by counting, fitting and judging
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    positive, negative = counts.get(1.0, 0), counts.get(0.0, 0)
-    if not positive or not negative:
-        return labelled.select("file_id", "path", F.lit(None).cast("double").alias("score"), (F.col("tool") | F.col("others")).alias("not_handwritten"))
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="seen", handleInvalid="keep").transform(labelled)
-    share = min(1.0, most / (positive + negative))
-    drawn = F.pmod(F.xxhash64("file_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)
-    sample = assembled.filter(F.col("label").isNotNull() & drawn).select("file_id", "label", "seen").repartition(1).sortWithinPartitions("file_id")
-    forest = RandomForestClassifier(featuresCol="seen", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxBins=32)
-    scored = forest.fit(sample).transform(assembled).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("file_id", "path", "score", (F.col("tool") | F.col("others") | (F.col("score") >= THRESHOLD)).alias("not_handwritten"))
+    labelled = label(features, WHOLE).checkpoint()  # a row a source file: a few numbers each, read by counting, fitting and judging
+    scores = []
+    for w in ("", WHOLE):
+        counts = {r[0]: r[1] for r in labelled.groupBy(f"{w}label").count().collect()}
+        positive, negative = counts.get(1.0, 0), counts.get(0.0, 0)
+        if not positive or not negative:
+            scores.append(F.lit(None).cast("double"))
+            continue
+        inputs = [w + f for f in FEATURES[:MEASURED]] + list(FEATURES[MEASURED:])
+        assembled = VectorAssembler(inputCols=inputs, outputCol="seen", handleInvalid="keep").transform(labelled)
+        share = min(1.0, most / (positive + negative))
+        drawn = F.pmod(F.xxhash64("file_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)
+        sample = assembled.filter(F.col(f"{w}label").isNotNull() & drawn).select("file_id", F.col(f"{w}label").alias("label"), "seen").repartition(1).sortWithinPartitions("file_id")
+        forest = RandomForestClassifier(featuresCol="seen", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxBins=32, probabilityCol=f"{w}probability", rawPredictionCol=f"{w}raw", predictionCol=f"{w}prediction")
+        labelled = forest.fit(sample).transform(assembled).drop("seen")
+        scores.append(vector_to_array(f"{w}probability")[1])
+    # The measures that say more against a file count, where it has texts of both kinds.
+    score = F.when(F.col("mixed"), F.greatest(*scores)).otherwise(scores[0])
+    found = F.col("tool") | F.col("others") | F.coalesce(score >= THRESHOLD, F.lit(False))
+    return labelled.select("file_id", "path", score.alias("score"), found.alias("not_handwritten"))

@@ -90,3 +90,14 @@ def test_swapped_line_numbers_hide_no_header(spark):
     chunks = spark.createDataFrame(rows, "chunk_id long, file_id long, kind string, start_line int, end_line int, text string")
     got = {r["file_id"]: (r["tool"], r["n_lines"]) for r in file_features(chunks, files).collect()}
     assert got == {1: (True, 1), 2: (False, 2), 3: (True, 1), 4: (False, 2)}
+
+
+def test_an_oversized_body_counts(spark):
+    files, chunks, truth = tables(spark)
+    rng = random.Random(3)
+    for i in range(600, 604):
+        files.append((i, f"/p/src/kettle_{i}.js", dt.datetime(2026, 1, 2), None))
+        chunks += [(i * 100, i, "text", 1, hand(rng), None), (i * 100 + 1, i, "text", 31, "".join(minified(rng) for _ in range(6)), None)]
+    found = judge(file_features(spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(files, FILES))).collect()
+    got = {r["file_id"]: r["not_handwritten"] for r in found}
+    assert all(got[i] for i in range(600, 604))
