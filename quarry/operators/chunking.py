@@ -1,9 +1,17 @@
-"""S-17, W-8: structure-aware chunks of text files, and W-6: batches of similar lengths."""
+"""S-17, W-8: structure-aware chunks of text files, and W-6: batches of similar lengths.
+
+A text is turned into a table of its lines once (prefix sums of bytes and of visible characters, indentation, and the
+seams: lines that may begin a unit). Where chunks end is then looked up in these arrays by bisection.
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -20,129 +28,126 @@ class ChunkLimits:
     min_characters: int = 60
 
 
-class _Lines:
-    """The lines of a text with what decides about boundaries, worked out once a line."""
+#: What counts as white space (Unicode's property of that name).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_WHITE_RUNS = re.compile(f"[{WHITE}]+")
+#: Lines of these only close what stands above them.
+CLOSERS = "})];,"
+_HEADING = re.compile("#+ ")
 
-    def __init__(self, text: str):
-        rows = text.split("\n")
-        ended = [r[:-1] if r.endswith("\r") else r for r in rows[:-1]]  # only CR before LF ends a line with it
-        self.rows = [*ended, rows[-1]] if rows[-1] else ended
-        self.size = [len(r.encode("utf-8", "replace")) for r in self.rows]
-        stripped = [r.strip() for r in self.rows]
-        self.blank = [not s for s in stripped]
-        self.closing = [not s.strip("})];,") for s in stripped]
-        self.heading = [r.startswith("#") and r.lstrip("#").startswith(" ") for r in self.rows]
-        self.indent = [len(r.encode("utf-8", "replace")) - len(r.lstrip().encode("utf-8", "replace")) for r in self.rows]
-        # For each line the last non-blank one before it.
-        self.above, last = [], -1
-        for i, blank in enumerate(self.blank):
-            self.above.append(last)
-            last = last if blank else i
-
-    def text(self, start: int, end: int) -> str:
-        return "\n".join(self.rows[start:end])
-
-
-def _reach(lines: _Lines, start: int, limits: ChunkLimits) -> int:
-    """Where the longest window from a line ends; it holds at least that line."""
-    used, end = lines.size[start] + 1, start + 1
-    while end < len(lines.rows) and end - start < limits.max_lines and used + lines.size[end] + 1 <= limits.max_bytes:
-        used += lines.size[end] + 1
-        end += 1
-    return end
-
-
-def _boundary(lines: _Lines, start: int, reach: int, limits: ChunkLimits) -> int | None:
-    """The line in reach where another unit begins, if any."""
-    best: int | None = None
-    for at in range(start + 1, min(reach, len(lines.rows) - 1) + 1):
-        if not lines.blank[at - 1] or lines.blank[at] or lines.closing[at]:
-            continue
-        if at < start + limits.min_lines and not lines.heading[at]:
-            continue
-        above = lines.above[at]
-        if above >= start and lines.heading[above]:
-            continue  # a heading stays with what follows
-        if lines.indent[at] <= lines.indent[start]:
-            return at
-        if best is None or lines.indent[at] < lines.indent[best]:
-            best = at
-    return best if reach < len(lines.rows) else None
 
+class Span(NamedTuple):
+    """Lines ``low`` up to, not including, ``high``; or a part of one long line, with its own text."""
 
-def chunk_text(text: str, limits: ChunkLimits = ChunkLimits()) -> list[tuple[int, int, str]]:
-    """Chunks as (first line, last line, text), lines from 1; none for an empty or blank text."""
-    lines = _Lines(text) if text else None
-    if lines is None:
-        return []
-    total, start = len(lines.rows), 0
-    spans: list[tuple[int, int, str | None]] = []  # a text only for parts of a line
-    while True:
-        while start < total and lines.blank[start]:
-            start += 1
-        if start >= total:
-            break
-        reach = _reach(lines, start, limits)
-        if reach == start + 1 and lines.size[start] > limits.max_bytes:
-            spans += [(start, reach, part) for part in _parts(lines.rows[start], limits.max_bytes)]
-            start = reach
-            continue
-        at = _boundary(lines, start, reach, limits)
-        end = reach if at is None else at
-        last = end
-        while last > start + 1 and lines.blank[last - 1]:
-            last -= 1
-        spans.append((start, last, None))
-        if at is None and end == total:
-            break
-        start = at if at is not None else max(end - limits.overlap, start + 1)
-    return [(a + 1, b, lines.text(a, b) if part is None else part) for a, b, part in _fold(spans, lines, limits)]
-
-
-def _parts(line: str, most: int) -> list[str]:
-    raw, out = line.encode("utf-8", "replace"), []
-    while raw:
-        cut = min(most, len(raw))
-        while cut < len(raw) and cut > 0 and raw[cut] & 0xC0 == 0x80:
-            cut -= 1
-        cut = cut or len(raw[:1].decode("utf-8", "ignore").encode()) or len(raw)
-        out.append(raw[:cut].decode("utf-8"))
-        raw = raw[cut:]
-    return out
+    low: int
+    high: int
+    part: str | None = None
 
 
-def _fold(spans: list[tuple[int, int, str | None]], lines: _Lines, limits: ChunkLimits) -> list[tuple[int, int, str | None]]:
-    """Spans with little in them join the next one, the last such one the one before, within the byte limit."""
+class LineTable:
+    """The lines of a text (a CR belongs to the end only before an LF), by position from 0."""
+
+    def __init__(self, text: str):
+        pieces = text.split("\n")
+        tail = [pieces.pop()]
+        self.lines = [p.removesuffix("\r") for p in pieces] + (tail if tail[0] else [])
+        bodies = [x.strip(WHITE) for x in self.lines]
+        widths = [len(x) if x.isascii() else len(x.encode("utf-8", "replace")) for x in self.lines]
+        #: Bytes of all lines before, each with a line end; visible characters of all lines before.
+        self.bytes_before = [0, *accumulate(w + 1 for w in widths)]
+        self.visible_before = [0, *accumulate(len(_WHITE_RUNS.sub("", b)) for b in bodies)]
+        self.solid = [i for i, b in enumerate(bodies) if b]
+        self.depth: dict[int, int] = {}
+        self.headings = {i for i in self.solid if _HEADING.match(self.lines[i])}
+        #: Solid lines under a blank one that open something: no closers, and no first line of a heading's own text.
+        self.seams: list[int] = []
+        for above, i in zip([-1, *self.solid], self.solid):
+            if above < i - 1 and i and above not in self.headings and bodies[i].strip(CLOSERS):
+                self.seams.append(i)
+        for i in self.solid:
+            front = self.lines[i][: len(self.lines[i]) - len(self.lines[i].lstrip(WHITE))]
+            self.depth[i] = len(front.encode("utf-8"))
+
+    def width(self, low: int, high: int) -> int:
+        """Bytes of the lines joined by line feeds."""
+        return self.bytes_before[high] - self.bytes_before[low] - 1
+
+    def visible(self, span: Span) -> int:
+        if span.part is not None:
+            return len(_WHITE_RUNS.sub("", span.part))
+        return self.visible_before[span.high] - self.visible_before[span.low]
+
+    def next_solid(self, at: int) -> int | None:
+        k = bisect_right(self.solid, at - 1)
+        return self.solid[k] if k < len(self.solid) else None
+
+    def last_solid(self, before: int) -> int:
+        return self.solid[bisect_right(self.solid, before - 1) - 1]
+
+
+def _window(table: LineTable, low: int, limits: ChunkLimits) -> int:
+    """The end of the longest span from ``low`` within both limits; a span holds a line at least."""
+    fits = bisect_right(table.bytes_before, table.bytes_before[low] + limits.max_bytes) - 1
+    return min(max(fits, low + 1), low + limits.max_lines, len(table.lines))
+
+
+def _seam(table: LineTable, low: int, end: int, limits: ChunkLimits) -> int | None:
+    """The seam to cut at, up to ``end``: the first as shallow as ``low``; in a cut-off window else the shallowest."""
+    inside = table.seams[bisect_right(table.seams, low) : bisect_right(table.seams, end)]
+    ranked = [(table.depth[i] > table.depth[low], table.depth[i], i) for i in inside if i - low >= limits.min_lines or i in table.headings]
+    if not ranked:
+        return None
+    level = [i for deeper, _, i in ranked if not deeper]
+    return level[0] if level else min(ranked)[2] if end < len(table.lines) else None
+
+
+def _slices(line: str, most: int) -> Iterator[str]:
+    """A line in parts of at most ``most`` bytes; a character wider than that stands alone."""
+    raw, at = line.encode("utf-8", "replace"), 0
+    while at < len(raw):
+        part = raw[at : at + most].decode("utf-8", "ignore") or raw[at:].decode("utf-8")[0]
+        at += len(part.encode("utf-8"))
+        yield part
+
+
+def _spans(table: LineTable, limits: ChunkLimits) -> Iterator[Span]:
+    low = table.next_solid(0)
+    while low is not None:
+        end = _window(table, low, limits)
+        if table.width(low, low + 1) > limits.max_bytes:
+            yield from (Span(low, low + 1, part) for part in _slices(table.lines[low], limits.max_bytes))
+            low = table.next_solid(low + 1)
+            continue
+        seam = _seam(table, low, end, limits)
+        yield Span(low, table.last_solid(seam or end) + 1)
+        if seam is None and end == len(table.lines):
+            return
+        low = table.next_solid(max(end - limits.overlap, low + 1)) if seam is None else seam
 
-    def joined(a: tuple, b: tuple) -> tuple | None:
-        if a[2] is not None or b[2] is not None or b[1] < a[1]:
-            return None
-        return (a[0], b[1], None) if sum(lines.size[a[0] : b[1]]) + b[1] - a[0] - 1 <= limits.max_bytes else None
 
-    def little(span: tuple) -> bool:
-        text = lines.text(span[0], span[1]) if span[2] is None else span[2]
-        return sum(1 for c in text if not c.isspace()) < limits.min_characters
+def _gather(spans: Iterator[Span], table: LineTable, limits: ChunkLimits) -> list[Span]:
+    """Thin spans (with few visible characters) take in what follows; a thin last one goes to the span before it."""
+    out: list[Span] = []
 
-    out: list[tuple] = []
-    waiting: tuple | None = None
+    def merge(first: Span, second: Span) -> Span | None:
+        fits = first.part is second.part is None and second.high >= first.high and table.width(first.low, second.high) <= limits.max_bytes
+        return Span(first.low, second.high) if fits else None
+
+    thin = lambda s: table.visible(s) < limits.min_characters
     for span in spans:
-        if waiting is not None:
-            both = joined(waiting, span)
-            if both is None:
-                out.append(waiting)
-            span = both or span
-        waiting = span if little(span) else None
-        if waiting is None:
-            out.append(span)
-    if waiting is not None:
-        both = joined(out[-1], waiting) if out else None
-        if both is not None:
-            out[-1] = both
-        else:
-            out.append(waiting)
+        both = merge(out[-1], span) if out and thin(out[-1]) else None
+        out[-1 if both else len(out) :] = [both or span]
+    if len(out) > 1 and thin(out[-1]) and (both := merge(*out[-2:])):
+        out[-2:] = [both]
     return out
 
 
+def chunk_text(text: str, limits: ChunkLimits = ChunkLimits()) -> list[tuple[int, int, str]]:
+    """Chunks as (first line, last line, text), lines from 1; none for an empty or blank text."""
+    table = LineTable(text or "")
+    return [(s.low + 1, s.high, "\n".join(table.lines[s.low : s.high]) if s.part is None else s.part) for s in _gather(_spans(table, limits), table, limits)]
+
+
 def chunk_texts(rows: DataFrame, key: str, text: str = "text", limits: ChunkLimits = ChunkLimits()) -> DataFrame:
     """``key, chunk_no, start_line, end_line, text`` of each row's text; nothing for null and blank texts. No shuffle."""
     kind = rows.schema[key].dataType.simpleString()
