@@ -1,9 +1,10 @@
 """Telling source files written by hand from generated, minified and vendored ones and from data (problem 2).
 
 Each chunk is measured once, without its header notices; a file's measures are sums over its chunks, so no text is
-shuffled. Files whose header says what they are (written by a tool, or somebody else's) are the positive labels, and
-files whose text has the ordinary shape of hand-written code and no notice the negative ones. A random forest learns to
-tell them apart by measures and path, and judges all files.
+shuffled. Header notices (written by a tool, or somebody else's) label files, as does a text that is mostly literals,
+since no header says "this is data"; notices and the share of literals are hidden from what the forest sees. All other
+files are unlabelled, not negative: the forest is fitted in rounds, and unlabelled files that look like labelled ones to
+a forest that has not seen them are no longer taken for hand-written in the next round.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from collections import Counter
 from collections.abc import Iterator
 from operator import add
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -48,7 +48,7 @@ _TOOL, _OTHERS = re.compile(TOOL_NOTICE, re.I), re.compile(OTHERS_NOTICE, re.I)
 #: Fixed value: the banner that shrinking tools keep.
 _KEPT_BANNER = re.compile(r"\s*/\*!\s*\S+ v?\d+(?:\.\d+)+\s*\*/")
 _COMMENT = re.compile(r"\s*(?://|#(?!\[)|--|/?\*|<!--)")
-_BANNER = re.compile(r"\s*/\*!?[^*\n]{0,200}\*/")
+_BANNER = re.compile(r"\s*/\*!?[^*\n]*\*/")
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 _LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|(?<![\w.])-?\d[\w.]*")
 _DIGITS = re.compile(r"\b0x[0-9a-f]+\b|\d+", re.I)
@@ -57,23 +57,25 @@ _NO_MARKS = str.maketrans("", "", "{}[]();=<>")
 #: What is added up over the chunks of a file.
 MEASURES = ("n_bytes", "packed", "n_lines", "chars", "longest", "tokens", "token_bits", "names", "name_chars", "short_names", "literal_chars", "digits", "spaces", "comments", "forms", "prose_chars")
 _LONGEST = 3 + MEASURES.index("longest")
-#: What the forest sees.
-FEATURES = (
-    "compression", "entropy", "name_length", "short_share", "comment_density", "line_length", "literal_share", "digit_share", "space_share", "form_share", "prose_share",
-    "in_vendored", "in_generated", "named_generated", "named_minified", "named_version",
-)
-#: Before the names of measures and features over all texts of a file, and how many features have such a twin.
-WHOLE, MEASURED = "whole_", 11
+#: Measures of a file: of its texts within a chunk's size limits (of all, where it has no others), and, with ``whole_``
+#: before the name, of all its texts.
+SHAPES = ("compression", "entropy", "name_length", "short_share", "comment_density", "line_length", "literal_share", "digit_share", "space_share", "form_share", "prose_share")
+WHOLE = "whole_"
+#: What the forest sees: neither notices nor the share of literals, which label.
+FEATURES = (*[f for f in SHAPES if f != "literal_share"], *[WHOLE + f for f in SHAPES if f != "literal_share"], "oversized_share", "foreign_path", "made_path")
 
 
-def notices(lines: list[str]) -> tuple[bool, bool, list[str]]:
-    """Whether comments in the lines say that a tool or another project made the file; the lines without those comments."""
+def notices(lines: list[str], first: int = 1) -> tuple[bool, bool, list[str]]:
+    """Whether comments in the lines say that a tool or another project made the file; the lines without those comments.
+
+    ``first`` is the number in the file of the first of the lines.
+    """
     tool = others = False
     kept = []
-    for number, line in enumerate(lines):
+    for number, line in enumerate(lines, first):
         banner = _BANNER.match(line)
-        head = banner.group() if banner else line[:300] if _COMMENT.match(line) else ""
-        if head and (number < HEADER_LINES or "sourceMappingURL=" in head):
+        head = banner.group() if banner else line if _COMMENT.match(line) else ""
+        if head and (number <= HEADER_LINES or "sourceMappingURL=" in head):
             body = re.sub(r"^[\s/*#!<-]+", "", head)
             is_tool, is_others = bool(_TOOL.search(head)), bool(_OTHERS.search(body) or _KEPT_BANNER.match(head))
             tool, others = tool or is_tool, others or is_others
@@ -114,15 +116,19 @@ def measure(lines: list[str]) -> tuple[float, ...]:
 WANTED_BITS = 1 << 26
 
 
-def wanted_files(current: DataFrame) -> np.ndarray:
-    """A bit for the hash of each file's id. Other files may share a bit; that costs time, but changes no result."""
-    place = F.pmod(F.xxhash64("file_id"), F.lit(WANTED_BITS))
-    parts = current.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()  # at most 2048 rows of 4 KB
-    bits = np.zeros(WANTED_BITS // 8, np.uint8)
-    for row in parts:
-        at = (row["bucket"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return bits
+def wanted_files(current: DataFrame) -> DataFrame:
+    """``bucket, bits``: a bit for the hash of each file's id, in at most 2,048 rows of 4 KB."""
+    place = F.pmod(F.xxhash64("file_id"), F.lit(WANTED_BITS)) + 1
+    return current.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+
+
+def of_wanted_files(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``file_id`` has a bit; other files may share one, which costs time, but changes no result. No shuffle."""
+    place = F.pmod(F.xxhash64("file_id"), F.lit(WANTED_BITS)) + 1
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(wanted), "bucket")  # 8 MB at most
+    return known.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).drop("bucket", "bits")
 
 
 def measure_chunks(chunks: DataFrame, current: DataFrame) -> DataFrame:
@@ -134,18 +140,12 @@ def measure_chunks(chunks: DataFrame, current: DataFrame) -> DataFrame:
     numbers, as they may be swapped; without ``start_line`` it may be the first.
     """
 
-    wanted = chunks.sparkSession.sparkContext.broadcast(wanted_files(current))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            at = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-            batch = batch.select(["file_id", "big", "head", "text"]).take(pa.array(at))
             sums: dict[tuple[int, bool], list[float]] = {}
-            for file, big, head, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, big, first, text in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = text.replace("\r\n", "\n").split("\n")
-                tool, others, kept = notices(lines) if head or "sourceMappingURL=" in text else (False, False, lines)
+                tool, others, kept = notices(lines, first) if first <= HEADER_LINES or "sourceMappingURL=" in text else (False, False, lines)
                 new = (1, tool, others, *measure(kept))
                 own = sums.get((file, not big))
                 if own is None:
@@ -164,10 +164,8 @@ def measure_chunks(chunks: DataFrame, current: DataFrame) -> DataFrame:
     if "end_line" in chunks.columns:
         begins = F.least(begins, "end_line")
     textual = F.coalesce(F.lower("kind") == "text", F.lit(True))
-    rows = chunks.filter(textual & F.col("file_id").isNotNull() & text.rlike(r"\S")).select(
-        F.col("file_id").cast("long"), is_oversized(text).alias("big"), (begins <= HEADER_LINES).alias("head"), "text",
-        F.pmod(F.xxhash64(F.col("file_id").cast("long")), F.lit(WANTED_BITS)).alias("place"),
-    )
+    rows = chunks.filter(textual & F.col("file_id").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), begins.cast("int").alias("first"), "text")
+    rows = of_wanted_files(rows, wanted_files(current)).filter(text.rlike(r"\S")).select("file_id", is_oversized(text).alias("big"), "first", "text")
     numbers = ", ".join(f"{c} double" for c in ("n_chunks", "tool", "others", *MEASURES))
     each = rows.mapInArrow(run, f"file_id long, regular boolean, {numbers}")
     total = [F.max("longest").alias("longest") if c == "longest" else F.sum(c).alias(c) for c in ("n_chunks", "tool", "others", *MEASURES)]
@@ -179,21 +177,19 @@ def _matches(column: Column, values: tuple[str, ...]) -> Column:
 
 
 def file_features(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """``file_id, path, tool, others, <features>`` of each source-code file that has texts.
+    """``file_id, path, tool, others, n_lines, n_bytes, literal_share, whole_literal_share, <FEATURES>`` of each source-code file that has texts.
 
-    Features stand twice: once without texts over the size limits of a chunk, which may be pasted in, where a file has
-    others, and once, with ``whole_`` before their names, over all its texts. ``mixed`` files have both kinds of texts.
-    Of several rows of a file the latest holds.
+    ``oversized_share`` is the share of bytes in texts over the size limits of a chunk. Of several rows of a file the
+    latest holds.
     """
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     current = files.filter(F.col("path").isNotNull() & F.col("file_id").isNotNull()).groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.max_by("path", F.struct("recorded_at", "path")).alias("path")).filter(extension.isin(*SOURCE))
     measured = measure_chunks(chunks, current)
-    has = F.sum(F.when(F.col("regular"), F.col("n_chunks")).otherwise(0))
     pick = [F.coalesce(F.max(F.when(F.col("regular"), F.col(c))), F.max(c)).alias(c) for c in MEASURES]
-    pick += [(F.max(c) if c == "longest" else F.sum(c)).alias(f"whole_{c}") for c in MEASURES]
-    by_file = measured.groupBy("file_id").agg(F.max("tool").alias("tool"), F.max("others").alias("others"), ((has > 0) & (has < F.sum("n_chunks"))).alias("mixed"), *pick)
+    pick += [(F.max(c) if c == "longest" else F.sum(c)).alias(WHOLE + c) for c in MEASURES]
+    big = F.sum(F.when(F.col("regular"), 0.0).otherwise(F.col("n_bytes")))
+    by_file = measured.groupBy("file_id").agg(F.max("tool").alias("tool"), F.max("others").alias("others"), big.alias("big_bytes"), *pick)
     name = F.lower(F.substring_index("path", "/", -1))
-    flag = lambda c: c.cast("double")
     features = {}
     for w in ("", WHOLE):
         part = lambda a, b: F.col(w + a) / F.greatest(F.col(w + b), F.lit(1.0))  # noqa: E731, B023
@@ -202,64 +198,85 @@ def file_features(chunks: DataFrame, files: DataFrame) -> DataFrame:
             "comment_density": part("comments", "n_lines"), "line_length": part("chars", "n_lines"), "literal_share": part("literal_chars", "chars"), "digit_share": part("digits", "chars"),
             "space_share": part("spaces", "n_bytes"), "form_share": part("forms", "n_lines"), "prose_share": part("prose_chars", "chars"),
         }.items()}
-    features |= {
-        "in_vendored": flag(_matches(F.col("path"), VENDORED_FOLDERS)), "in_generated": flag(_matches(F.col("path"), GENERATED_FOLDERS)),
-        "named_generated": flag(name.rlike(GENERATED_NAME)), "named_minified": flag(name.rlike(MINIFIED_NAME)), "named_version": flag(name.rlike(VERSION_NAME)),
-    }
+    features["oversized_share"] = F.col("big_bytes") / F.greatest(F.col("whole_n_bytes"), F.lit(1.0))
+    features["foreign_path"] = (_matches(F.col("path"), VENDORED_FOLDERS) | name.rlike(VERSION_NAME)).cast("double")
+    features["made_path"] = (_matches(F.col("path"), GENERATED_FOLDERS) | name.rlike(GENERATED_NAME) | name.rlike(MINIFIED_NAME)).cast("double")
     joined = by_file.join(current, "file_id")
-    return joined.select("file_id", "path", (F.col("tool") > 0).alias("tool"), (F.col("others") > 0).alias("others"), "n_lines", "n_bytes", "mixed", *[c.alias(f) for f, c in features.items()])
+    return joined.select("file_id", "path", (F.col("tool") > 0).alias("tool"), (F.col("others") > 0).alias("others"), "n_lines", "n_bytes", *[c.alias(f) for f, c in features.items()])
 
 
-#: Rows the forest is fitted on at most, drawn from the labelled files by a hash of the id.
-MOST_LABELLED = 20_000
-#: Shape of hand-written code, for the negative labels; and the share of literals from which a file is data.
-#: Scores of labelled files leave a wide gap here: hand-written ones stay below 0.28, others above 0.4.
-THRESHOLD = 0.33
-ORDINARY = "form_share >= 0.6 and literal_share < 0.4 and digit_share < 0.1 and line_length < 100 and short_share < 0.4"
-PROSE = "prose_share >= 0.5 and form_share >= 0.6"
-DATA = "literal_share >= 0.5"
+#: Rows the forests are fitted on at most, drawn from all files by a hash of the id.
+MOST_FITTED = 20_000
+#: A file is data where literals make up half of it, or a third with as many digits as no code has.
+DATA = "literal_share >= 0.5 OR literal_share >= 0.34 AND digit_share >= 0.12"
+#: Scores are probabilities under equal numbers of labelled and other files: one half decides.
+THRESHOLD = 0.5
+#: After each round but the last, unlabelled files of this score and more are no longer taken for hand-written: a quarter
+#: at first, as a kind of file whose notice is often missing is outnumbered then by its own unlabelled members.
+DOUBTFUL = (0.25, 0.4)
+FOLDS = 2
 
 
-def label(features: DataFrame, *twins: str) -> DataFrame:
-    """Adds ``label``: 1 for a header notice, or literals for the greater part; 0 for ordinary shape or prose without any mark; else null.
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("file_id", F.lit(99)), F.lit(FOLDS))
 
-    For each of ``twins``, what is before the names of other measures of the same files, a label by these as well.
-    """
-    marked = "in_vendored + in_generated + named_generated + named_minified + named_version > 0"
-    for w in ("", *twins):
-        ordinary, prose, data = (re.sub(r"\b[a-z]+_(?:share|length)\b", lambda m: w + m.group(), x) for x in (ORDINARY, PROSE, DATA))  # noqa: B023
-        features = features.withColumn(f"{w}label", F.expr(f"CASE WHEN tool OR others OR ({data}) THEN 1.0 WHEN NOT ({marked}) AND (({ordinary}) OR ({prose})) THEN 0.0 END"))
-    return features
 
+def _held_out(rows: DataFrame, models: list, name: str) -> DataFrame:
+    """Adds the score of each file by the forest that was fitted without the file's fold.
 
-def judge(features: DataFrame, trees: int = 40, depth: int = 8, most: int = MOST_LABELLED, seed: int = 5) -> DataFrame:
-    """``file_id, path, score, not_handwritten`` of each source file.
+    A file with texts of both sizes is looked at twice, as it is and as if all its texts were alike; the higher score
+    counts, so that neither part hides the other.
+    """
+    from pyspark.ml.functions import vector_to_array
 
-    ``score`` is the forest's probability. Notices settle the files that have them. Where there are no labels of both
-    kinds, only notices decide (score null).
+    known, score = rows.columns, F.lit(None).cast("double")
+    for k, model in enumerate(models):
+        looks = []
+        for seen in ("seen", "seen_whole"):
+            look = model.copy()
+            look.setFeaturesCol(seen).setProbabilityCol(f"{seen}_p{k}").setRawPredictionCol(f"{seen}_r{k}").setPredictionCol(f"{seen}_v{k}")
+            rows = look.transform(rows)
+            looks.append(vector_to_array(f"{seen}_p{k}")[1])
+        score = F.when(_fold() == k, F.greatest(*looks)).otherwise(score)
+    return rows.select(*[c for c in known if c != name], score.alias(name))
+
+
+def judge(features: DataFrame, trees: int = 40, depth: int = 6, most: int = MOST_FITTED, seed: int = 5) -> DataFrame:
+    """``file_id, path, score, by_forest, by_notice, not_handwritten`` of each source file.
+
+    ``score`` comes from forests that have not seen the file's own label: files are parted into folds, and each fold is
+    scored by a forest fitted on the others. ``by_forest`` is the verdict of the score, ``by_notice`` that of the file's
+    own header, which a copy of ordinary code shows nowhere else; either suffices. Where there are not both labelled and
+    other files in a fold's complement, only notices decide (score null).
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     shared_folder(features.sparkSession)
-    labelled = label(features, WHOLE).checkpoint()  # a row a source file: a few numbers each, read by counting, fitting and judging
-    scores = []
-    for w in ("", WHOLE):
-        counts = {r[0]: r[1] for r in labelled.groupBy(f"{w}label").count().collect()}
-        positive, negative = counts.get(1.0, 0), counts.get(0.0, 0)
-        if not positive or not negative:
-            scores.append(F.lit(None).cast("double"))
-            continue
-        inputs = [w + f for f in FEATURES[:MEASURED]] + list(FEATURES[MEASURED:])
-        assembled = VectorAssembler(inputCols=inputs, outputCol="seen", handleInvalid="keep").transform(labelled)
-        share = min(1.0, most / (positive + negative))
-        drawn = F.pmod(F.xxhash64("file_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)
-        sample = assembled.filter(F.col(f"{w}label").isNotNull() & drawn).select("file_id", F.col(f"{w}label").alias("label"), "seen").repartition(1).sortWithinPartitions("file_id")
-        forest = RandomForestClassifier(featuresCol="seen", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxBins=32, probabilityCol=f"{w}probability", rawPredictionCol=f"{w}raw", predictionCol=f"{w}prediction")
-        labelled = forest.fit(sample).transform(assembled).drop("seen")
-        scores.append(vector_to_array(f"{w}probability")[1])
-    # The measures that say more against a file count, where it has texts of both kinds.
-    score = F.when(F.col("mixed"), F.greatest(*scores)).otherwise(scores[0])
-    found = F.col("tool") | F.col("others") | F.coalesce(score >= THRESHOLD, F.lit(False))
-    return labelled.select("file_id", "path", score.alias("score"), found.alias("not_handwritten"))
+    whole = [f if f.startswith(WHOLE) or f not in SHAPES else WHOLE + f for f in FEATURES]
+    labelled = VectorAssembler(inputCols=whole, outputCol="seen_whole", handleInvalid="keep").transform(features)
+    labelled = VectorAssembler(inputCols=list(FEATURES), outputCol="seen", handleInvalid="keep").transform(labelled.withColumn("label", F.expr(f"CASE WHEN tool OR others OR {DATA} THEN 1.0 ELSE 0.0 END")))
+    labelled = labelled.select("file_id", "path", "tool", "others", "label", "seen", "seen_whole").checkpoint()  # a row a source file: a few numbers each, read by counting, fitting and judging
+    share = min(1.0, most / max(1, labelled.count()))
+    drawn = F.pmod(F.xxhash64("file_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)
+    sample = labelled.filter(drawn).select("file_id", "label", "seen", "seen_whole", F.lit(0.0).alias("score")).repartition(4, "file_id").sortWithinPartitions("file_id").checkpoint()
+    models: list = []
+    for turn in range(len(DOUBTFUL) + 1):
+        kept = sample.filter((F.col("label") == 1) | (F.col("score") < DOUBTFUL[turn - 1])) if turn else sample
+        counts = {(r["fold"], r["label"]): r["count"] for r in kept.groupBy(_fold().alias("fold"), "label").count().collect()}
+        models = []
+        for k in range(FOLDS):
+            other, own = (sum(n for (f, label), n in counts.items() if f != k and label == kind) for kind in (0.0, 1.0))
+            if not other or not own:
+                models = []
+                break
+            weighed = kept.filter(_fold() != k).withColumn("weight", F.when(F.col("label") == 1, other / own).otherwise(1.0))
+            forest = RandomForestClassifier(featuresCol="seen", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", maxBins=32)
+            models.append(forest.fit(weighed))
+        if not models:
+            break
+        if turn < len(DOUBTFUL):
+            sample = _held_out(sample, models, "score").checkpoint()
+    scored = _held_out(labelled, models, "score")
+    by_forest, by_notice = F.coalesce(F.col("score") >= THRESHOLD, F.lit(False)), F.col("tool") | F.col("others")
+    return scored.select("file_id", "path", "score", by_forest.alias("by_forest"), by_notice.alias("by_notice"), (by_forest | by_notice).alias("not_handwritten"))

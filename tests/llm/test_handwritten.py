@@ -1,7 +1,9 @@
 import datetime as dt
 import random
 
-from quarry.llm.handwritten import file_features, judge, measure, notices
+from pyspark.sql import functions as F
+
+from quarry.llm.handwritten import FEATURES, file_features, judge, measure, notices
 
 CHUNKS = "chunk_id long, file_id long, kind string, start_line int, text string, path string"
 FILES = "file_id long, path string, recorded_at timestamp, text string"
@@ -80,7 +82,24 @@ def test_notices_are_hidden_from_the_measures():
     assert notices(["# ref 0.576", "// see kettle 2.4.1"])[:2] == (False, False)
     assert notices(["-- zib 2.4.1 | all of it"])[:2] == (False, True)
     assert notices(['print("Code generated by me")'])[:2] == (False, False)
+    assert notices(["# Code generated by t. DO NOT EDIT."], 15)[0] is False and notices(["x = 1", "# Code generated by t. DO NOT EDIT."], 13)[0] is True
+    assert notices(["// " + "x" * 400 + " @generated by t"])[0] is True
     assert measure([""])[0] == 0
+    assert not any("literal" in f for f in FEATURES)
+
+
+def test_the_forest_alone(spark):
+    files, chunks, truth = tables(spark, 4)
+    features = file_features(spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(files, FILES)).cache()
+    rows = judge(features).collect()
+    # No file is called made by the forest without reason; most of what has no notice is found, though half the kind has none.
+    assert sum(r["by_forest"] and not truth[r["file_id"]] for r in rows) <= 3
+    bare = [r for r in rows if truth[r["file_id"]] and not r["by_notice"]]
+    assert sum(r["by_forest"] for r in bare) >= 0.85 * len(bare)
+    # A forest has not seen the label of what it scores: without its notice a file gets much the same score.
+    one = next(r for r in rows if r["by_notice"] and r["score"] > 0.9)
+    again = judge(features.withColumn("tool", F.col("tool") & (F.col("file_id") != one["file_id"])).withColumn("others", F.col("others") & (F.col("file_id") != one["file_id"])))
+    assert again.filter(F.col("file_id") == one["file_id"]).first()["score"] > 0.5
 
 
 def test_swapped_line_numbers_hide_no_header(spark):
