@@ -40,9 +40,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 10 nearest of every hundredth chunk among all chunks."""
-    settings = neighbours.Settings(probes=96)
-    near = neighbours.nearest_neighbours(table(spark, sf, "chunks"), queries=F.col("id") % 100 == 0, settings=settings)
-    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
+    near = neighbours.nearest_neighbours(table(spark, sf, "chunks"), queries=F.col("id") % 100 == 0)
+    return near.select(F.col("id").alias("chunk_id"), "neighbour")
 
 
 def p5_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,6 +84,9 @@ WHERE strlen(text) > 3000 OR length(text) - length(replace(text, chr(10), '')) +
     "p3_found": """WITH v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS n FROM chunks WHERE len(embedding) > 0)
 SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id AND len(a.e) = len(b.e)
 WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) >= 9e-1 * sqrt(a.n) * sqrt(b.n)""",
+    "p3_neighbours": """WITH v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM chunks WHERE len(embedding) > 0 AND chunk_id IS NOT NULL),
+s AS (SELECT a.chunk_id, b.chunk_id AS neighbour, max(round(list_dot_product(a.e, b.e) / (a.n * b.n), 7)) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id AND len(a.e) = len(b.e) WHERE a.chunk_id % 100 = 0 AND a.n > 0 AND b.n > 0 GROUP BY 1, 2)
+SELECT chunk_id, neighbour FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY s DESC, neighbour) AS k FROM s) WHERE k <= 10""",
     "p8_found": f"""WITH c AS (SELECT doc_id, text, form FROM (SELECT doc_id, text, {lookalike.canonical_sql("text")} AS form FROM documents) WHERE regexp_matches(form, '\\S'))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
 }

@@ -47,6 +47,39 @@ def test_blocks_of_hot_lists_change_nothing(spark):
     assert rows(one) == rows(nb.Settings(probes=3, list_size=300, query_block=50))
 
 
+def test_fine_lists_find_the_same(spark):
+    vectors = clustered(2)
+    similar, top = truth(vectors, 10)
+    frame = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(vectors)], SCHEMA)
+    settings = nb.Settings(probes=12, list_size=30, most_coarse=12, probes_nearest=48)
+    index = nb.Index({64: vectors}, {64: len(vectors)}, settings, 12)
+    assert len(index.coarse[64]) == 12 and len(index.fine[64]) == 9 and index.lists == 108
+    middles = np.array([index.place(n)[1] for n in range(108)])
+    part = nb.unit(vectors[:50])
+    exact = ((part[:, None, :] - middles[None]) ** 2).sum(2)
+    assert (index.nearest(part, 4)[:, 0] == exact.argmin(1)).mean() > 0.95
+    pairs = {tuple(r) for r in nb.similar_pairs(nb.nearest_neighbours(frame, floor=0.9, settings=settings), 0.9).collect()}
+    a, b = np.nonzero(np.triu(similar >= 0.9, 1))
+    assert len(pairs & set(zip(a.tolist(), b.tolist()))) >= 0.99 * len(a) and pairs <= set(zip(a.tolist(), b.tolist()))
+    got = {}
+    for r in nb.nearest_neighbours(frame, settings=settings).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    assert np.mean([len(got[i] & set(top[i])) / 10 for i in range(len(vectors))]) >= 0.9
+
+
+def test_a_vector_of_a_third_of_all_rows(spark):
+    vectors = clustered(7, 600)
+    rows = [(i, v.tolist(), None) for i, v in enumerate(vectors)] + [(1000 + i, vectors[5].tolist(), None) for i in range(300)] + [(1000, vectors[5].tolist(), None)] * 90
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for settings in (nb.Settings(k=5, many_copies=64, list_size=2000), nb.Settings(k=5, many_copies=10**9, list_size=2000)):
+        got = {}
+        for r in nb.nearest_neighbours(frame, settings=settings, queries=F.col("id") % 2 == 0).collect():
+            got.setdefault(r["id"], []).append(r["neighbour"])
+        assert set(got) == {r[0] for r in rows if r[0] % 2 == 0}
+        assert sorted(got[1000]) == [5, 1001, 1002, 1003, 1004] and sorted(got[1298]) == [5, 1000, 1001, 1002, 1003]
+        assert all(len(n) == 5 for n in got.values())
+
+
 def test_dirty_rows(spark):
     rows = [(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, [2.0, 0.0], None), (3, [0.0, 0.0], None), (4, None, None), (5, [], None), (6, [1.0, float("nan")], None), (7, [1.0, None], None), (8, [1.0, 0.0, 0.0], None), (9, [2.0, 0.1, 0.0], None), (None, [1.0, 0.0], None), (10, [-1.0, 0.0], None)]
     frame = spark.createDataFrame(rows, SCHEMA)
