@@ -68,8 +68,8 @@ def skip_reason_groups(skipped: DataFrame, samples: int = 5) -> DataFrame:
     return counts.join(shown, counts["reason"].eqNullSafe(shown["reason"])).select(counts["reason"], text.describe_skip(counts["reason"]).alias("description"), "files", F.array_join("samples", "\n").alias("samples"))
 
 
-def reconcile(found: DataFrame, indexed: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
-    """JN-6, JN-7: ``path, state`` from ``path, size, modified_nanoseconds, content_hash`` of both sides.
+def reconcile(found: DataFrame, indexed: DataFrame, skipped: DataFrame | None = None, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """JN-6, JN-7: ``<keys>, state`` from ``<keys>, size, modified_nanoseconds, content_hash`` of both sides.
 
     ``new``: not indexed; ``deleted``: not found; ``unchanged``: size and time are the same (PR-10); ``touched``: only
     the time or size differs, the content is the same; ``modified``: the content differs or can't be compared.
@@ -80,15 +80,18 @@ def reconcile(found: DataFrame, indexed: DataFrame, skipped: DataFrame | None =
         F.when(F.col("b.path").isNull(), "new").when(F.col("a.path").isNull(), "deleted").when(same, "unchanged")
         .when(F.col("a.content_hash") == F.col("b.content_hash"), "touched").otherwise("modified")
     )
-    out = a.join(b, F.col("a.path") == F.col("b.path"), "full_outer").select(F.coalesce("a.path", "b.path").alias("path"), state.alias("state"))
+    equal = F.lit(True)
+    for key in keys:
+        equal = equal & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+    out = a.join(b, equal, "full_outer").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], state.alias("state"))
     return out if skipped is None else out.join(skipped.select("path"), "path", "left_anti")
 
 
-def pending_changes(states: DataFrame) -> DataFrame:
-    """AG-7, PR-14: one row of counts, and whether a search may update the index by itself."""
+def pending_changes(states: DataFrame, *by: str) -> DataFrame:
+    """AG-7, PR-14: one row of counts (for each value of ``by``), and whether a search may update the index by itself."""
     kind = text.kind_of_path(F.col("path"))
     changed = F.col("state").isin("new", "modified")
-    counts = states.agg(
+    counts = states.groupBy(*by).agg(
         F.count_if(F.col("state") == "new").alias("new_files"), F.count_if(F.col("state") == "modified").alias("modified_files"), F.count_if(F.col("state") == "deleted").alias("deleted_files"),
         F.count_if(F.col("state") == "touched").alias("touched_files"), F.count_if(F.col("state") == "unchanged").alias("unchanged_files"), F.count_if(changed & (kind != "text") & (kind != "pdf")).alias("changed_media"),
     )

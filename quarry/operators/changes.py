@@ -10,11 +10,9 @@ compared with the state committed by the run before it. ``content_intervals`` gi
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quarry.session import shared_folder
+from quarry.session import scratch_folder
 from quarry.streaming.ledger import Ledger
 
 
@@ -97,7 +95,7 @@ def paths_to_process(files: DataFrame, runs: DataFrame, sightings: DataFrame, fo
     path and run once, stored by run, so that a run reads its own rows and the state before it.
     """
     spark = files.sparkSession
-    folder = folder or f"{shared_folder(spark).rstrip('/')}/changes-{uuid4()}"
+    folder = folder or scratch_folder(spark, "changes")
     numbered = successful_runs(runs)
     path_states(files, numbered, sightings).write.mode("overwrite").partitionBy("number").parquet(f"{folder}/states")
     states = spark.read.schema("path string, content string, number int").parquet(f"{folder}/states")

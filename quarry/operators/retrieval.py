@@ -5,6 +5,10 @@ All operators take a batch of queries (a column ``query_id``), so one plan serve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.functions import segments, text, vectors
@@ -64,39 +68,60 @@ def percentiles_by_rank(scored: DataFrame, fractions: tuple[float, ...] = (0.5,
     return placed.join(F.broadcast(at), (F.col("first") <= F.col("at")) & (F.col("at") < F.col("last"))).select("fraction", "similarity")
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``term, key, tf, length`` of every word of every text; words are folded as by the keyword index."""
-    each = chunks.select(key, text.words(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    return each.select(key, "length", F.explode("words").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+#: The term of a posting that only says how long a chunk is.
+LENGTH = ""
 
 
-def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """JN-2, AG-12, AG-13: ``query_id, key, score`` of the chunks that hold every word of a query, by BM25.
+def postings(chunks: DataFrame, key: str = "chunk_id", *carried: str) -> DataFrame:
+    """SNK-8: ``term, key, tf, length`` of every word of every text, and for every row, texts or not, one of term ``LENGTH``.
 
-    N and the mean length count all rows of ``chunks``, also those without text; the words are matched folded. Only
-    words of some query are kept before anything is shuffled, and N and the lengths come from one pass over the texts.
-    Queries without a word of two characters match nothing. Repeated rows of an id are copies of one text and count once:
-    ids and numbers are shuffled for that, not texts.
+    Words are folded as by the keyword index. ``carried`` columns, which the key decides, go along.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(text.query_terms(F.col("query_text")), text.folded))).alias("term")).distinct()
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    vocabulary = terms.select("term").distinct()
-    words = F.coalesce(text.words(F.col("text")), F.array().cast("array<string>"))
-    tokens = chunks.filter(F.col(key).isNotNull()).select(key, words.alias("words"))
-    lengths = tokens.groupBy(key).agg(F.max(F.size("words")).alias("length"), F.count("*").alias("copies"))
-    corpus = lengths.agg(F.count("*").cast("double").alias("n_rows"), F.avg("length").alias("mean_length"))
-    found = tokens.select(key, F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", key).agg(F.count("*").alias("times"))
-    shared_folder(chunks.sparkSession)
-    hits = found.join(lengths, key).select("term", key, "length", (F.col("times") / F.col("copies")).alias("tf")).checkpoint()  # words of queries only; read twice
-    df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    each = chunks.filter(F.col(key).isNotNull()).select(key, *carried, F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    each = each.select(key, *carried, F.size("words").alias("length"), F.posexplode(F.concat(F.array(F.lit(LENGTH)), "words")).alias("at", "term"))
+    return each.groupBy("term", key, "length", *carried).agg(F.countDistinct("at").cast("double").alias("tf"))  # repeated rows of a key have the same places
+
+
+def query_words(queries: DataFrame) -> DataFrame:
+    """``query_id, term``: the distinct words of each query, folded."""
+    return queries.select("query_id", F.explode(F.array_distinct(F.transform(text.query_terms(F.col("query_text")), text.folded))).alias("term")).distinct()
+
+
+def rank_postings(hits: DataFrame, terms: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """JN-2, AG-12, AG-13: ``query_id, key, score`` of the keys that hold every word of a query, by BM25.
+
+    ``hits``: postings of at least the words of ``terms`` and of ``LENGTH``; of those come the number of rows and their
+    mean length.
+    """
+    corpus = hits.filter(F.col("term") == LENGTH).agg(F.count("*").cast("double").alias("n_rows"), F.avg("length").alias("mean_length"))
+    found = hits.filter(F.col("term") != LENGTH)
+    df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weighted = df.crossJoin(F.broadcast(corpus))  # one row
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select("term", "mean_length", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = hits.join(terms, "term").join(weighted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    scored = found.join(terms, "term").join(weighted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
     return scored.join(wanted, "query_id").filter("matched = wanted").select("query_id", key, "score")
 
 
+def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """:func:`rank_postings` of chunks without stored postings: every text is taken apart once.
+
+    N and the mean length count all rows of ``chunks``, also those without text. Only words of some query and a length a
+    row are kept before anything is shuffled. Queries without a word of two characters match nothing. Repeated rows of
+    an id are copies of one text and count once.
+    """
+    terms = query_words(queries)
+    shared_folder(chunks.sparkSession)
+    words = F.coalesce(text.words(F.col("text")), F.array().cast("array<string>"))
+    each = chunks.filter(F.col(key).isNotNull()).select(key, words.alias("words"))
+    each = each.select(key, F.size("words").alias("length"), F.posexplode(F.concat(F.array(F.lit(LENGTH)), "words")).alias("at", "term"))
+    wanted = terms.select("term").distinct().unionByName(chunks.sparkSession.range(1).select(F.lit(LENGTH).alias("term")))
+    kept = each.join(wanted, "term", "left_semi").groupBy("term", key, "length").agg(F.countDistinct("at").cast("double").alias("tf"))
+    return rank_postings(kept.checkpoint(), terms, key)  # words of queries and lengths; read three times
+
+
 def top_per_query(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each query, with ``rank`` from 1 (W-1); Spark keeps k rows a query before the shuffle."""
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
@@ -169,9 +194,38 @@ def best_per_file(results: DataFrame) -> DataFrame:
     return results.withColumn("k", F.row_number().over(W.partitionBy("query_id", "path").orderBy("fused_rank"))).filter("k = 1").drop("k")
 
 
+def of_usual_length(rows: DataFrame, key: str = "file_id") -> DataFrame:
+    """The rows of each group whose vectors have the length that most of its vectors have, the longer of equally frequent ones."""
+    counts = rows.filter(F.size("embedding") > 0).groupBy(key, F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
+    usual = counts.groupBy(key).agg(F.max_by("d", F.struct("n", "d")).alias("d"))
+    return rows.join(usual, (rows[key] == usual[key]) & (F.size(rows["embedding"]) == usual["d"]), "left_semi")
+
+
 def mean_direction(rows: DataFrame, key: str = "file_id") -> DataFrame:
-    """AG-5: ``key, embedding``: the sum of a group's vectors, of length one; a zero sum stays. Element-wise, partial sums."""
-    each = rows.select(key, F.posexplode("embedding").alias("at", "value"))
-    sums = each.groupBy(key, "at").agg(F.sum(F.col("value").cast("double")).alias("value"))
-    joined = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))  # as many as dimensions
-    return joined.select(key, vectors.normalized(F.transform("v", lambda x: x["value"])).alias("embedding"))
+    """AG-5: ``key, embedding``: the sum of a group's vectors, of length one; a zero sum stays.
+
+    Vectors of a group have one length. Batches are summed in Arrow first, so a batch sends one row a group, not one an
+    element.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_inverse=True)
+            vectors_ = batch.column(2)
+            sizes, offsets, values = np.diff(vectors_.offsets.to_numpy()), vectors_.offsets.to_numpy(), vectors_.values.to_numpy(zero_copy_only=False)
+            firsts = np.full(len(keys), 0)
+            firsts[places] = np.arange(len(places))
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                matrix = values[offsets[at][:, None] + np.arange(size)].astype(np.float64)
+                order = np.argsort(places[at], kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(places[at][order]) > 0])
+                added = np.add.reduceat(matrix[order], starts, axis=0)
+                own = batch.column(0).take(pa.array(firsts[places[at][order][starts]]))
+                yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array(np.arange(len(added) + 1, dtype=np.int32) * int(size)), pa.array(added.ravel()))], ["_key", "sum"])
+
+    each = rows.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col(key).alias("_key"), F.xxhash64(key).alias("_h"), "embedding").mapInArrow(sums, f"_key {kind}, sum array<double>")
+    parts = each.select("_key", F.posexplode("sum").alias("at", "value")).groupBy("_key", "at").agg(F.sum("value").alias("value"))
+    joined = parts.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))  # as many as dimensions
+    return joined.select(F.col("_key").alias(key), vectors.normalized(F.transform("v", lambda x: x["value"])).alias("embedding"))

@@ -39,4 +39,9 @@ present AS (SELECT *, number - row_number() OVER (PARTITION BY path ORDER BY num
 known AS (SELECT *, last_value(content IGNORE NULLS) OVER (PARTITION BY path, stay ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM present)
 SELECT r.scan_id, k.path FROM known k JOIN runs r ON k.number = r.number
 WHERE k.content IS NOT NULL AND k.content IS DISTINCT FROM k.before""",
+    "p4_intervals": f"""WITH {_STATES},
+present AS (SELECT *, number - row_number() OVER (PARTITION BY path ORDER BY number) AS stay FROM states),
+known AS (SELECT *, last_value(content IGNORE NULLS) OVER (PARTITION BY path, stay ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM present),
+versions AS (SELECT *, sum((content IS NOT NULL AND content IS DISTINCT FROM before)::INT) OVER (PARTITION BY path, stay ORDER BY number) AS version FROM known)
+SELECT path, max(content) AS content, min(number) AS from_number, max(number) AS to_number FROM versions WHERE version > 0 GROUP BY path, stay, version""",
 }

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.functions import render, segments, text
 from quarry.operators import catalog, changes, chunking
 from quarry.plans.search_queries import CH, CUR, SCOPE
-from quarry.session import shared_folder, table
+from quarry.session import scratch_folder, table
 from quarry.streaming.ledger import Ledger
 
 #: A fixed present for ages, so that results can be compared.
@@ -55,12 +53,14 @@ def root_options(spark, sf):
 
 
 def _states(spark, sf) -> DataFrame:
-    """The first successful run's sightings against the index."""
-    first = changes.successful_runs(table(spark, sf, "scan_runs")).filter("number = 1").select("scan_id")
-    seen = table(spark, sf, "file_sightings").join(F.broadcast(first), "scan_id", "left_semi")  # one row
+    """Each successful run's sightings against what the run before it saw, the first one's against the index."""
+    runs = changes.successful_runs(table(spark, sf, "scan_runs"))
+    fields = ("size", "modified_nanoseconds", "content_hash")
     last = F.max_by(F.struct("size", "modified_nanoseconds", changes.plain_hash("content_hash").alias("content_hash")), F.struct("seen_at", "arrived_at"))
-    found = seen.filter("path is not null").groupBy("path").agg(last.alias("l")).select("path", "l.*")
-    return catalog.reconcile(found, _files(spark, sf).withColumn("content_hash", changes.plain_hash("content_hash")))
+    seen = table(spark, sf, "file_sightings").filter("path is not null").join(runs, "scan_id").groupBy("path", "number").agg(last.alias("l")).select("path", "number", "l.*")
+    start = _files(spark, sf).select("path", F.lit(1).alias("number"), "size", "modified_nanoseconds", changes.plain_hash("content_hash").alias("content_hash"))
+    before = seen.select("path", (F.col("number") + 1).alias("number"), *fields).unionByName(start).join(runs.select("number"), "number", "left_semi")
+    return catalog.reconcile(seen, before, keys=("path", "number")).join(runs, "number").select("scan_id", "path", "state")
 
 
 def reconcile(spark, sf):
@@ -68,15 +68,15 @@ def reconcile(spark, sf):
 
 
 def pending_changes(spark, sf):
-    return catalog.pending_changes(_states(spark, sf))
+    return catalog.pending_changes(_states(spark, sf), "scan_id")
 
 
 def status_samples(spark, sf):
-    """T-7: some paths of each state, by path."""
+    """T-7: some paths of each state of each run, by path."""
     from pyspark.sql import Window as W
 
-    ranked = _states(spark, sf).withColumn("k", F.row_number().over(W.partitionBy("state").orderBy("path")))
-    return ranked.filter("k <= 5").select("state", "k", "path")
+    ranked = _states(spark, sf).withColumn("k", F.row_number().over(W.partitionBy("scan_id", "state").orderBy("path")))
+    return ranked.filter("k <= 5").select("scan_id", "state", "k", "path")
 
 
 def forget_scope(spark, sf):
@@ -142,8 +142,8 @@ def meaningful_chars(spark, sf):
 
 
 def numbered_lines(spark, sf):
-    own = _chunks(spark, sf).filter("text is not null and text <> '' and start_line is not null")
-    each = own.select("chunk_id", F.explode(text.numbered_lines(F.col("start_line"), F.col("text"))).alias("l"))
+    own = _chunks(spark, sf).filter("text is not null and text <> ''")
+    each = own.select("chunk_id", F.explode(text.numbered_lines(F.coalesce("start_line", F.lit(1)), F.col("text"))).alias("l"))
     return each.select("chunk_id", "l.line_number", "l.line")
 
 
@@ -212,14 +212,22 @@ def plan_batches(spark, sf):
 
 
 def incremental_index(spark, sf):
-    """ST-4: three runs over what arrived by three days; the numbers are microseconds of arrival and a hash of the row."""
-    folder = f"{shared_folder(spark).rstrip('/')}/incremental-{uuid4()}"
-    ledger = Ledger(spark, folder)
-    rows = table(spark, sf, "file_sightings").filter("arrived_at is not null").dropDuplicates()
-    rows = rows.withColumn("number", F.pmod(F.xxhash64("scan_id", "path", "seen_at", "arrived_at", "content_hash", "size"), F.lit(1 << 40)))
-    for day in ("2026-07-20", "2026-07-26", "2026-12-31"):
-        ledger.run(rows.filter(F.col("arrived_at") < F.lit(day)), "number", lambda new: new.groupBy("scan_id", "path").agg(F.count("*").alias("sightings")))
-    return ledger.output().groupBy("scan_id", "path").agg(F.sum("sightings").alias("sightings"))
+    """ST-4: three runs of a ledger over what arrived by three days, the last without an end.
+
+    Rows get their numbers once, in order of arrival, those without one last.
+    """
+    folder = scratch_folder(spark, "incremental")
+    order = [F.col("arrived_at").asc_nulls_last(), *[F.col(c) for c in ("scan_id", "path", "seen_at", "content_hash", "size", "modified_nanoseconds")]]
+    numbered = table(spark, sf, "file_sightings").dropDuplicates().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id())
+    numbered.write.parquet(f"{folder}/rows")
+    rows, ledger = spark.read.parquet(f"{folder}/rows"), Ledger(spark, f"{folder}/ledger")
+    for day in ("2026-07-20", "2026-07-26", None):
+        known = rows if day is None else rows.filter(F.col("arrived_at") < F.lit(day))
+        ledger.run(known, "number", lambda new: new.groupBy("scan_id", "path").agg(F.count("*").alias("sightings")))
+    output = ledger.output()
+    if output is None:
+        return rows.select("scan_id", "path", F.lit(0).cast("long").alias("sightings"))
+    return output.groupBy("scan_id", "path").agg(F.sum("sightings").alias("sightings"))
 
 
 QUERIES = {
@@ -241,10 +249,11 @@ skipped AS (SELECT path, reason FROM cur LEFT JOIN reasons USING (file_id) WHERE
 _TOLD = "CASE reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.SKIP_REASONS.items()) + f" ELSE '{text.UNKNOWN_SKIP}' END"
 _HASH = r"lower(regexp_replace(content_hash, '^\s*[A-Za-z][A-Za-z0-9_-]*:', ''))"
 _STATES = f"""{CUR}, runs AS (SELECT scan_id, row_number() OVER (ORDER BY started_at, scan_id) AS number FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY recorded_at DESC, finished_at DESC NULLS LAST) AS k FROM scan_runs) WHERE k = 1 AND run_status = 'succeeded'),
-found AS (SELECT path, size, modified_nanoseconds, {_HASH} AS h FROM (SELECT s.*, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, arrived_at DESC) AS k FROM file_sightings s JOIN runs r ON s.scan_id = r.scan_id AND number = 1 WHERE path IS NOT NULL) WHERE k = 1),
-states AS (SELECT coalesce(f.path, c.path) AS path, CASE WHEN c.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'deleted'
+found AS (SELECT number, path, size, modified_nanoseconds, {_HASH} AS h FROM (SELECT s.*, number, row_number() OVER (PARTITION BY number, path ORDER BY seen_at DESC, arrived_at DESC) AS k FROM file_sightings s JOIN runs r ON s.scan_id = r.scan_id WHERE path IS NOT NULL) WHERE k = 1),
+earlier AS (SELECT 1 AS number, path, size, modified_nanoseconds, {_HASH} AS h FROM cur UNION ALL SELECT number + 1, path, size, modified_nanoseconds, h FROM found WHERE number < (SELECT max(number) FROM runs)),
+states AS (SELECT r.scan_id, coalesce(f.path, c.path) AS path, CASE WHEN c.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'deleted'
   WHEN f.size IS NOT DISTINCT FROM c.size AND f.modified_nanoseconds IS NOT DISTINCT FROM c.modified_nanoseconds THEN 'unchanged' WHEN f.h = c.h THEN 'touched' ELSE 'modified' END AS state
-  FROM found f FULL JOIN (SELECT *, {_HASH} AS h FROM cur) c ON f.path = c.path)"""
+  FROM found f FULL JOIN earlier c ON f.path = c.path AND f.number = c.number JOIN runs r ON r.number = coalesce(f.number, c.number))"""
 _IN = f"(path = '{SCOPE}' OR starts_with(path, '{SCOPE}/'))"
 _STAT = "count(DISTINCT file_id) AS files, count(DISTINCT CASE WHEN kind = 'image' THEN file_id END) AS images, count(DISTINCT CASE WHEN kind IN ('audio', 'video') THEN file_id END) AS recordings, count(chunk_id) AS chunks"
 _LINES = "CASE WHEN text = '' THEN []::VARCHAR[] WHEN ends_with(text, chr(10)) THEN string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))[:-2] ELSE string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) END"
@@ -262,11 +271,12 @@ SQL = {
 tops AS (SELECT a.path, arg_min(b.path, length(b.path)) AS root FROM once a JOIN once b ON a.path = b.path OR starts_with(a.path, b.path || '/') OR b.path = '/' GROUP BY 1)
 SELECT o.path, count(*) - 1 AS merged, o.indexed_at FROM tops JOIN once o ON o.path = tops.root GROUP BY o.path, o.indexed_at""",
     "root_options": "SELECT DISTINCT path, indexed_at, " + ", ".join(f"CASE WHEN ok THEN (o->>'$.{f}')::{t} END AS {f}" for f, t in (("max_text_size", "BIGINT"), ("max_media_size", "BIGINT"), ("include_images", "BOOLEAN"), ("include_audio", "BOOLEAN"), ("include_video", "BOOLEAN"))) + " FROM (SELECT *, o IS NOT NULL AND json_type(o, '$.max_text_size') = 'UBIGINT' AS ok FROM (SELECT path, indexed_at, CASE WHEN json_valid(options) THEN options::JSON END AS o FROM indexed_roots))",
-    "reconcile": f"WITH {_STATES} SELECT path, state FROM states",
+    "reconcile": f"WITH {_STATES} SELECT scan_id, path, state FROM states",
     "pending_changes": f"""WITH {_STATES}, s AS (SELECT *, {_KIND} AS kind FROM (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ending FROM states)),
-n AS (SELECT count_if(state = 'new') AS new_files, count_if(state = 'modified') AS modified_files, count_if(state = 'deleted') AS deleted_files, count_if(state = 'touched') AS touched_files, count_if(state = 'unchanged') AS unchanged_files, count_if(state IN ('new', 'modified') AND kind NOT IN ('text', 'pdf')) AS changed_media FROM s)
+n AS (SELECT scan_id, count_if(state = 'new') AS new_files, count_if(state = 'modified') AS modified_files, count_if(state = 'deleted') AS deleted_files, count_if(state = 'touched') AS touched_files, count_if(state = 'unchanged') AS unchanged_files, count_if(state IN ('new', 'modified') AND kind NOT IN ('text', 'pdf')) AS changed_media FROM s GROUP BY 1)
 SELECT *, changed_media = 0 AND new_files + modified_files <= 25 AS updates_itself FROM n""",
-    "status_samples": f"WITH {_STATES} SELECT state, k, path FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY path) AS k FROM states) WHERE k <= 5",
+    "status_samples": f"WITH {_STATES} SELECT scan_id, state, k, path FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, state ORDER BY path) AS k FROM states) WHERE k <= 5",
+    "incremental_index": "SELECT scan_id, path, count(*) AS sightings FROM (SELECT DISTINCT * FROM file_sightings) GROUP BY 1, 2",
     "forget_scope": f"WITH {CUR} SELECT path, file_id FROM cur WHERE NOT {_IN}",
     "orphan_chunks": f"WITH {CUR}, {CH} SELECT chunk_id, file_id FROM ch WHERE NOT EXISTS (SELECT 1 FROM cur WHERE cur.file_id = ch.file_id)",
     "chunk_ids_of_file": f"WITH {CUR}, {CH} SELECT path, chunk_id FROM ch JOIN cur USING (file_id) WHERE {_IN}",
@@ -280,7 +290,7 @@ SELECT *, changed_media = 0 AND new_files + modified_files <= 25 AS updates_itse
     "readable_ages": f"SELECT path, indexed_at, CASE WHEN s < 60 THEN 'just now' ELSE n || ' ' || u || CASE WHEN n = 1 THEN '' ELSE 's' END || ' ago' END AS age FROM (SELECT *, CASE WHEN s < 3600 THEN s // 60 WHEN s < 86400 THEN s // 3600 ELSE s // 86400 END AS n, CASE WHEN s < 3600 THEN 'minute' WHEN s < 86400 THEN 'hour' ELSE 'day' END AS u FROM (SELECT *, greatest({NOW} - indexed_at, 0) AS s FROM indexed_roots WHERE indexed_at IS NOT NULL))",
     "line_features": rf"SELECT doc_id, len(l) AS n_lines, len(list_filter(l, lambda x: NOT regexp_matches(x, '\S'))) AS blank, len(list_filter(l, lambda x: regexp_matches(x, '^#+ '))) AS headings, len(list_filter(l, lambda x: regexp_matches(x, '^[\s}})\];,]*$'))) AS closing, coalesce(list_max(list_transform(l, lambda x: length(regexp_extract(x, '^([ \t]*)', 1)))), 0) AS deepest FROM (SELECT doc_id, {_LINES} AS l FROM documents WHERE text IS NOT NULL)",
     "meaningful_chars": r"SELECT doc_id, length(regexp_replace(text, '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')) AS characters FROM documents WHERE text IS NOT NULL",
-    "numbered_lines": rf"""WITH {CH}, l AS (SELECT chunk_id, start_line, list_transform({_LINES}, lambda x: regexp_replace(x, '[\s\x{{0B}}]+$', '')) AS l FROM ch WHERE text <> '' AND start_line IS NOT NULL),
+    "numbered_lines": rf"""WITH {CH}, l AS (SELECT chunk_id, coalesce(start_line, 1) AS start_line, list_transform({_LINES}, lambda x: regexp_replace(x, '[\s\x{{0B}}]+$', '')) AS l FROM ch WHERE text <> ''),
 m AS (SELECT *, coalesce(list_min(list_transform(list_filter(l, lambda x: x <> ''), lambda x: length(regexp_extract(x, '^(\s*)', 1)))), 0) AS shared FROM l),
 each AS (SELECT chunk_id, (start_line + i - 1)::INT AS line_number, l[i][shared + 1:] AS line FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM m))
 SELECT chunk_id, line_number, CASE WHEN length(line) > 160 THEN line[1:160] || '…' ELSE line END AS line FROM each""",

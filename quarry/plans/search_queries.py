@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from quarry.functions import encoders, text, vectors
 from quarry.operators import catalog, retrieval
 from quarry.operators.batch_search import batch_topk
-from quarry.session import table
+from quarry.session import shared_folder, table
 
 SCOPE = "/home/tel/code"
 #: One of a hundred rows is a query.
@@ -85,16 +85,16 @@ def truncate_normalize(spark, sf):
 
 
 def mean_direction(spark, sf):
-    rows = _distinct_vectors(spark, sf).filter("file_id is not null and size(embedding) = 64")
-    means = retrieval.mean_direction(rows)
+    rows = _distinct_vectors(spark, sf).filter("file_id is not null and embedding is not null")
+    means = retrieval.mean_direction(retrieval.of_usual_length(rows))
     return means.select("file_id", F.posexplode("embedding").alias("pos", "value")).select("file_id", "pos", _six("value"))
 
 
 def similar_to_example(spark, sf):
     """X-6, PR-5, PR-7: the chunks most like every hundredth file as a whole, without the file's own."""
-    rows = _chunk_vectors(spark, sf).filter("file_id is not null and size(embedding) = 64")
+    rows = _chunk_vectors(spark, sf).filter("file_id is not null and embedding is not null")
     own = catalog.clean_chunks(rows.filter(F.col("file_id") % EACH == 0))
-    examples = retrieval.mean_direction(own).withColumnRenamed("file_id", "query_id")
+    examples = retrieval.mean_direction(retrieval.of_usual_length(own)).withColumnRenamed("file_id", "query_id")
     return batch_topk(rows, examples, 10, excluded=own.select(F.col("file_id").alias("query_id"), "chunk_id")).select("query_id", "chunk_id", _six("similarity"), "rank")
 
 
@@ -129,19 +129,26 @@ def bow_embedding(spark, sf):
     return encoders.bag_of_words_table(table(spark, sf, "documents"), "doc_id").select("doc_id", "bucket", _six("weight"))
 
 
-def _candidates(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rankings of the given candidates by similarity and by keywords, with the queries; the engine's sign is taken off."""
+def _candidates(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rankings of the given candidates by similarity and by keywords, the queries, and the spread of each one's similarities.
+
+    A query's kind filters the candidates before they are ranked (A1); the spread is that of all of them, not only of
+    those ranked first. The engine's sign is taken off keyword scores.
+    """
+    queries = table(spark, sf, "search_queries").withColumn("keyword_weight", F.coalesce("keyword_weight", F.lit(1.0))).withColumn("wanted", F.lower("kind"))
     once = table(spark, sf, "search_results").groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"), F.max("keyword_score").alias("keyword_score"))
     sign = once.groupBy("query_id").agg(F.max("keyword_score").alias("most"))
     once = once.join(sign, "query_id").withColumn("keyword_score", F.when(F.col("most") < 0, -F.col("keyword_score")).otherwise(F.col("keyword_score"))).drop("most")
-    queries = table(spark, sf, "search_queries").withColumn("keyword_weight", F.coalesce("keyword_weight", F.lit(1.0)))
+    kinds = _chunks(spark, sf).select("chunk_id", "kind")
+    once = once.join(queries.select("query_id", "wanted"), "query_id").join(kinds, "chunk_id", "left").filter("wanted is null or kind = wanted").drop("wanted", "kind")
+    spread = once.groupBy("query_id").agg(F.stddev_pop("similarity").alias("spread"))
     by_vector = retrieval.top_per_query(once.filter("similarity is not null"), retrieval.CANDIDATES, F.desc("similarity"), F.desc("chunk_id"))
     by_keyword = retrieval.top_per_query(once.filter("keyword_score is not null"), retrieval.CANDIDATES, F.desc("keyword_score"), F.col("chunk_id"))
-    return by_vector, by_keyword.join(queries.select("query_id", "keyword_weight"), "query_id"), queries
+    return by_vector, by_keyword.join(queries.select("query_id", "keyword_weight"), "query_id"), queries, spread
 
 
 def _fused(spark, sf) -> DataFrame:
-    by_vector, by_keyword, _ = _candidates(spark, sf)
+    by_vector, by_keyword, _, _ = _candidates(spark, sf)
     return retrieval.reciprocal_rank_fusion((by_vector, F.lit(1.0)), (by_keyword, F.col("keyword_weight")))
 
 
@@ -150,32 +157,53 @@ def rrf_fusion(spark, sf):
 
 
 def hybrid_candidates(spark, sf):
-    by_vector, by_keyword, _ = _candidates(spark, sf)
+    by_vector, by_keyword, _, _ = _candidates(spark, sf)
     return by_vector.select("query_id", "chunk_id").unionByName(by_keyword.select("query_id", "chunk_id")).distinct()
 
 
-def _floors(by_vector: DataFrame) -> DataFrame:
-    spread = by_vector.groupBy("query_id").agg(F.stddev_pop("similarity").alias("spread"))
-    return retrieval.relevance_floor(by_vector, spread)
-
-
 def relevance_floor(spark, sf):
-    by_vector, _, _ = _candidates(spark, sf)
-    return _floors(by_vector).select("query_id", F.round("floor", 6).alias("floor"))
+    by_vector, _, _, spread = _candidates(spark, sf)
+    return retrieval.relevance_floor(by_vector, spread).select("query_id", F.round("floor", 6).alias("floor"))
 
 
 def _relevant(spark, sf) -> DataFrame:
-    """Fused candidates of existing chunks and files past the cutoff; a query's kind filters both rankings (A1)."""
-    by_vector, by_keyword, queries = _candidates(spark, sf)
+    """Fused candidates of existing chunks and files past the cutoff."""
+    by_vector, by_keyword, queries, spread = _candidates(spark, sf)
     fused = retrieval.reciprocal_rank_fusion((by_vector, F.lit(1.0)), (by_keyword, F.col("keyword_weight")))
     known = fused.join(by_vector.select("query_id", "chunk_id", "similarity"), ["query_id", "chunk_id"], "left").join(by_keyword.select("query_id", "chunk_id", F.lit(True).alias("is_keyword")), ["query_id", "chunk_id"], "left")
-    passed = known.join(_floors(by_vector), "query_id").filter(retrieval.passes_cutoff(F.col("floor"), F.coalesce("similarity", F.lit(-1.0)), F.coalesce("is_keyword", F.lit(False)), F.col("fused_rank")))
+    floors = retrieval.relevance_floor(by_vector, spread)
+    passed = known.join(floors, "query_id").filter(retrieval.passes_cutoff(F.col("floor"), F.coalesce("similarity", F.lit(-1.0)), F.coalesce("is_keyword", F.lit(False)), F.col("fused_rank")))
     placed = catalog.chunks_with_path(_chunks(spark, sf).drop("text", "embedding"), table(spark, sf, "files"))
-    wanted = queries.select("query_id", F.lower("kind").alias("wanted"), F.coalesce("result_limit", F.lit(10)).alias("result_limit"))
-    out = passed.join(placed, "chunk_id").join(wanted, "query_id").filter("wanted is null or kind = wanted")
+    out = passed.join(placed, "chunk_id").join(queries.select("query_id", F.coalesce("result_limit", F.lit(10)).alias("result_limit")), "query_id")
     return out.select("query_id", "fused_rank", "chunk_id", "path", "kind", "page", "start_line", "end_line", "start_ms", "end_ms", "similarity", "result_limit")
 
 
+def hybrid_end_to_end(spark, sf):
+    """EP-1 from the texts of the queries: both retrievers run over all chunks of the wanted kind.
+
+    A query's vector is the row of ``embeddings`` with its number. The spread is that of all chunks in reach, and every
+    fused chunk has its similarity, found by vector or by words (PR-3).
+    """
+    queries = table(spark, sf, "search_queries").select("query_id", "query_text", F.coalesce("keyword_weight", F.lit(1.0)).alias("keyword_weight"), F.lower("kind").alias("wanted"), F.coalesce("result_limit", F.lit(10)).alias("result_limit"))
+    asked = queries.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
+    placed = catalog.chunks_with_path(_chunks(spark, sf).select("chunk_id", "file_id", "kind", "embedding"), table(spark, sf, "files"))
+    # A stated query set against all rows; the queries are few and are left to Spark to send or not.
+    reach = placed.join(asked.select("query_id", "asked", "wanted"), F.col("wanted").isNull() | (F.col("kind") == F.col("wanted")))
+    shared_folder(spark)
+    scored = reach.select("query_id", "chunk_id", "path", F.round(vectors.dot(F.col("embedding"), F.col("asked")), 12).alias("similarity")).checkpoint()  # numbers only; read three times
+    spread = scored.groupBy("query_id").agg(F.coalesce(F.stddev_pop("similarity"), F.lit(0.0)).alias("spread"))
+    by_vector = retrieval.top_per_query(scored.filter("similarity is not null"), retrieval.CANDIDATES, F.desc("similarity"), F.desc("chunk_id"))
+    matched = _keyword_scores(spark, sf).withColumn("score", F.round("score", 9)).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    by_keyword = retrieval.top_per_query(matched, retrieval.CANDIDATES, F.desc("score"), F.col("chunk_id")).join(queries.select("query_id", "keyword_weight"), "query_id")
+    fused = retrieval.reciprocal_rank_fusion((by_vector, F.lit(1.0)), (by_keyword, F.col("keyword_weight")))
+    known = fused.join(scored, ["query_id", "chunk_id"]).join(by_keyword.select("query_id", "chunk_id", F.lit(True).alias("is_keyword")), ["query_id", "chunk_id"], "left")
+    floors = retrieval.relevance_floor(by_vector, spread)
+    passed = known.join(floors, "query_id").filter(retrieval.passes_cutoff(F.col("floor"), F.coalesce("similarity", F.lit(-1.0)), F.coalesce("is_keyword", F.lit(False)), F.col("fused_rank")))
+    best = retrieval.best_per_file(passed.join(queries.select("query_id", "result_limit"), "query_id"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("fused_rank"))
+    return best.withColumn("place", place).filter("place <= result_limit").select("query_id", "place", "chunk_id", "path", _six("similarity"))
+
+
 def hybrid_search(spark, sf):
     best = retrieval.best_per_file(_relevant(spark, sf))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("fused_rank"))
@@ -187,6 +215,15 @@ def hybrid_search_all(spark, sf):
     return kept.select("query_id", "fused_rank", "chunk_id", "path", "kind")
 
 
+def overlap_suppression(spark, sf):
+    """W-5: all candidates of a query in fused order, whatever the cutoff, without those that show a place twice."""
+    by_vector, by_keyword, _, _ = _candidates(spark, sf)
+    fused = retrieval.reciprocal_rank_fusion((by_vector, F.lit(1.0)), (by_keyword, F.col("keyword_weight")))
+    placed = catalog.chunks_with_path(_chunks(spark, sf).drop("text", "embedding"), table(spark, sf, "files"))
+    kept = retrieval.suppress_overlaps(fused.join(placed, "chunk_id"), F.lit(100))
+    return kept.select("query_id", "fused_rank", "chunk_id")
+
+
 def best_per_file(spark, sf):
     return retrieval.best_per_file(_relevant(spark, sf)).select("query_id", "path", "chunk_id", "fused_rank")
 
@@ -223,7 +260,7 @@ QUERIES = {
     for f in (
         vector_topk, vector_topk_kind, vector_topk_scope, vector_topk_batch, background_stats, standard_score, similarity_percentiles, truncate_normalize, mean_direction,
         similar_to_example, query_terms, keyword_strings, token_stats, keyword_match_all, bm25_topk, bow_embedding, rrf_fusion, hybrid_candidates, relevance_floor,
-        hybrid_search, hybrid_search_all, best_per_file, files_with_matches, recall_at_1, margins,
+        hybrid_search, hybrid_search_all, hybrid_end_to_end, overlap_suppression, best_per_file, files_with_matches, recall_at_1, margins,
     )
 }
 
@@ -245,23 +282,40 @@ scored AS (
   SELECT query_id, chunk_id, sum(CASE WHEN raw > 0 THEN raw ELSE 1e-6 END * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * length / mean_length))) AS score, count(*) AS matched
   FROM tf JOIN terms USING (term) JOIN idf USING (term), corpus GROUP BY 1, 2),
 found AS (SELECT query_id, chunk_id, round(score, 9) AS score FROM scored JOIN (SELECT query_id, count(*) AS wanted FROM terms GROUP BY 1) USING (query_id) WHERE matched = wanted)"""
-_CANDIDATES = """once AS (SELECT query_id, chunk_id, max(similarity) AS similarity, max(keyword_score) AS raw FROM search_results GROUP BY 1, 2),
-signed AS (SELECT *, CASE WHEN max(raw) OVER (PARTITION BY query_id) < 0 THEN -raw ELSE raw END AS keyword_score FROM once),
+_CANDIDATES = f"""{CH}, once AS (SELECT query_id, chunk_id, max(similarity) AS similarity, max(keyword_score) AS raw FROM search_results GROUP BY 1, 2),
+every AS (SELECT *, CASE WHEN max(raw) OVER (PARTITION BY query_id) < 0 THEN -raw ELSE raw END AS keyword_score FROM once),
+signed AS (SELECT e.* FROM every e JOIN search_queries q USING (query_id) WHERE q.kind IS NULL OR EXISTS (SELECT 1 FROM ch WHERE ch.chunk_id = e.chunk_id AND ch.kind = lower(q.kind))),
 by_vector AS (SELECT * FROM (SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id DESC) AS rank FROM signed WHERE similarity IS NOT NULL) WHERE rank <= 100),
 by_keyword AS (SELECT k.*, coalesce(keyword_weight, 1.0) AS weight FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, chunk_id) AS rank FROM signed WHERE keyword_score IS NOT NULL) k JOIN search_queries USING (query_id) WHERE rank <= 100),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, chunk_id) AS fused_rank FROM (
   SELECT query_id, chunk_id, sum(part) AS fused FROM (SELECT query_id, chunk_id, 1 / (60.0::DOUBLE + rank) AS part FROM by_vector UNION ALL SELECT query_id, chunk_id, weight / (60.0::DOUBLE + rank) FROM by_keyword) GROUP BY 1, 2)),
 drops AS (SELECT * FROM (SELECT *, similarity - lead(similarity) OVER (PARTITION BY query_id ORDER BY rank) AS d FROM by_vector WHERE rank <= 20) WHERE d IS NOT NULL),
 widest AS (SELECT query_id, similarity AS above, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, rank DESC) AS k FROM drops) WHERE k = 1),
-floors AS (SELECT s.query_id, CASE WHEN spread > 0 AND d >= 75e-2 * spread THEN above END AS floor FROM (SELECT query_id, stddev_pop(similarity) AS spread FROM by_vector GROUP BY 1) s LEFT JOIN widest w USING (query_id))"""
-_RELEVANT = f"""WITH {CUR}, {CH}, {_CANDIDATES},
+floors AS (SELECT s.query_id, CASE WHEN spread > 0 AND d >= 75e-2 * spread THEN above END AS floor FROM (SELECT query_id, stddev_pop(similarity) AS spread FROM signed GROUP BY 1) s LEFT JOIN widest w USING (query_id))"""
+_RELEVANT = f"""WITH {CUR}, {_CANDIDATES},
 relevant AS (
-  SELECT f.query_id, f.fused_rank, f.chunk_id, c.path, ch.kind, v.similarity, coalesce(s.result_limit, 10) AS result_limit
+  SELECT f.query_id, f.fused_rank, f.chunk_id, c.path, ch.kind, ch.page, ch.start_line, ch.end_line, ch.start_ms, ch.end_ms, v.similarity, coalesce(s.result_limit, 10) AS result_limit
   FROM fused f LEFT JOIN by_vector v USING (query_id, chunk_id) LEFT JOIN by_keyword k USING (query_id, chunk_id) JOIN floors USING (query_id)
   JOIN ch ON ch.chunk_id = f.chunk_id JOIN cur c ON c.file_id = ch.file_id JOIN search_queries s ON s.query_id = f.query_id
-  WHERE (floor IS NULL OR f.fused_rank = 1 OR coalesce(v.similarity, -1) >= floor OR k.chunk_id IS NOT NULL) AND (s.kind IS NULL OR lower(s.kind) = ch.kind)),
+  WHERE (floor IS NULL OR f.fused_rank = 1 OR coalesce(v.similarity, -1) >= floor OR k.chunk_id IS NOT NULL)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY fused_rank) AS b FROM relevant) WHERE b = 1)"""
+# One result after another, in fused order: those kept so far are carried along.
+_TOUCH = """y.path = o.path AND CASE WHEN o.kind = 'text' AND y.kind = 'text' THEN coalesce(y.start_line <= o.end_line AND o.start_line <= y.end_line, true)
+  WHEN o.kind = 'pdf' AND y.kind = 'pdf' THEN coalesce(y.page, 1) = coalesce(o.page, 1) AND coalesce(y.start_line <= o.end_line AND o.start_line <= y.end_line, true)
+  WHEN y.start_ms IS NOT NULL AND o.start_ms IS NOT NULL AND y.end_ms IS NOT NULL AND o.end_ms IS NOT NULL THEN y.start_ms < o.end_ms AND o.start_ms < y.end_ms ELSE true END"""
+_ROW = "{'fused_rank': o.fused_rank, 'chunk_id': o.chunk_id, 'path': o.path, 'kind': o.kind, 'page': o.page, 'start_line': o.start_line, 'end_line': o.end_line, 'start_ms': o.start_ms, 'end_ms': o.end_ms}"
+_WALK = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS n FROM relevant),
+walk AS (
+  SELECT o.query_id, n, [{_ROW}] AS kept FROM numbered o WHERE n = 1
+  UNION ALL
+  SELECT w.query_id, o.n, CASE WHEN len(w.kept) >= o.result_limit OR len(list_filter(w.kept, lambda y: {_TOUCH})) > 0 THEN w.kept ELSE list_append(w.kept, {_ROW}) END
+  FROM walk w JOIN numbered o ON o.query_id = w.query_id AND o.n = w.n + 1),
+chosen AS (SELECT query_id, unnest(kept) AS r FROM (SELECT query_id, arg_max(kept, n) AS kept FROM walk GROUP BY 1))"""
 _BATCH = f"""WITH {CH}, vecs AS (SELECT chunk_id, file_id, embedding::DOUBLE[] AS v FROM ch WHERE len(embedding) = 64)"""
+# Of a file's vectors those of the length that most of them have, the longer one of equally frequent ones.
+_MEANS = f"""WITH {CH}, lengths AS (SELECT file_id, len(embedding) AS d, row_number() OVER (PARTITION BY file_id ORDER BY count(*) DESC, len(embedding) DESC) AS k FROM ch WHERE file_id IS NOT NULL AND len(embedding) > 0 GROUP BY 1, 2),
+usual AS (SELECT ch.file_id, embedding::DOUBLE[] AS v FROM ch JOIN lengths l ON l.file_id = ch.file_id AND l.k = 1 AND l.d = len(embedding)),
+sums AS (SELECT file_id, pos, sum(v[pos]) AS s FROM (SELECT *, unnest(range(1, len(v) + 1)) AS pos FROM usual) GROUP BY 1, 2)"""
 _LABELS = """WITH near AS (
   SELECT q.vec_id AS query_id, q.label AS expected, e.label, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS similarity,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) DESC, e.vec_id DESC) AS rank
@@ -279,12 +333,12 @@ SELECT query_id, chunk_id, round(s, 6) AS similarity, rank FROM (
     "standard_score": f"{_SCORED} SELECT chunk_id, round((similarity - m) / s, 6) AS standard_score FROM scored, (SELECT avg(similarity) AS m, stddev_pop(similarity) AS s FROM scored)",
     "similarity_percentiles": f"{_SCORED}, ranked AS (SELECT similarity, row_number() OVER (ORDER BY similarity DESC) - 1 AS i, count(*) OVER () AS n FROM scored) SELECT fraction, round(similarity, 6) AS similarity FROM ranked, (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS fraction) WHERE i = floor((n - 1) * (1 - fraction) + 1e-9)",
     "truncate_normalize": "SELECT vec_id, pos - 1 AS pos, round(v[pos] / sqrt(list_dot_product(v, v)), 6) AS value FROM (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings), (SELECT unnest(generate_series(1, 16)) AS pos)",
-    "mean_direction": f"{_BATCH}, sums AS (SELECT file_id, pos - 1 AS pos, sum(v[pos]) AS s FROM vecs, (SELECT unnest(generate_series(1, 64)) AS pos) WHERE file_id IS NOT NULL GROUP BY 1, 2) SELECT file_id, pos, round(CASE WHEN sqrt(sum(s * s) OVER (PARTITION BY file_id)) > 0 THEN s / sqrt(sum(s * s) OVER (PARTITION BY file_id)) ELSE s END, 6) AS value FROM sums",
-    "similar_to_example": f"""{_BATCH}, sums AS (SELECT file_id, pos, sum(v[pos]) AS s FROM vecs, (SELECT unnest(generate_series(1, 64)) AS pos) WHERE file_id % 100 = 0 GROUP BY 1, 2),
-means AS (SELECT file_id, list(s ORDER BY pos) AS m FROM sums GROUP BY 1)
+    "mean_direction": f"{_MEANS} SELECT file_id, pos - 1 AS pos, round(CASE WHEN sqrt(sum(s * s) OVER (PARTITION BY file_id)) > 0 THEN s / sqrt(sum(s * s) OVER (PARTITION BY file_id)) ELSE s END, 6) AS value FROM sums",
+    "similar_to_example": f"""{_MEANS}, means AS (SELECT file_id, list(s ORDER BY pos) AS m FROM sums WHERE file_id % 100 = 0 GROUP BY 1),
+vecs AS (SELECT chunk_id, file_id, embedding::DOUBLE[] AS v FROM ch WHERE len(embedding) > 0 AND file_id IS NOT NULL)
 SELECT query_id, chunk_id, round(s, 6) AS similarity, rank FROM (
   SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id DESC) AS rank
-  FROM (SELECT means.file_id AS query_id, chunk_id, round(list_dot_product(m, v) / sqrt(list_dot_product(m, m)), 12) AS s FROM vecs JOIN means ON vecs.file_id <> means.file_id)) WHERE rank <= 10""",
+  FROM (SELECT means.file_id AS query_id, chunk_id, round(list_dot_product(m, v) / CASE WHEN list_dot_product(m, m) > 0 THEN sqrt(list_dot_product(m, m)) ELSE 1 END, 12) AS s FROM vecs JOIN means ON vecs.file_id <> means.file_id AND len(m) = len(v))) WHERE rank <= 10""",
     "query_terms": rf"""SELECT query_id, pos - 1 AS pos, terms[pos] AS term FROM (
   SELECT query_id, list_filter(w, lambda x, i: length(x) >= 2 AND list_position(w, x) = i) AS terms FROM (SELECT query_id, regexp_split_to_array(lower(query_text), '{_WORD}') AS w FROM search_queries)), (SELECT unnest(generate_series(1, 100)) AS pos) WHERE pos <= len(terms)""",
     "keyword_strings": rf"""SELECT query_id, CASE WHEN len(terms) > 0 THEN array_to_string(list_transform(terms, lambda x: '"' || x || '"'), ' AND ') END AS keywords, 'task: search result | query: ' || query_text AS prompt FROM (
@@ -298,6 +352,23 @@ SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6)
     "hybrid_candidates": f"WITH {_CANDIDATES} SELECT query_id, chunk_id FROM by_vector UNION SELECT query_id, chunk_id FROM by_keyword",
     "relevance_floor": f"WITH {_CANDIDATES} SELECT query_id, round(floor, 6) AS floor FROM floors",
     "hybrid_search": f"{_RELEVANT} SELECT query_id, place, chunk_id, path, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS place FROM best) WHERE place <= result_limit",
+    "hybrid_search_all": f"{_RELEVANT.replace('WITH', 'WITH RECURSIVE', 1)}, {_WALK} SELECT query_id, r.fused_rank, r.chunk_id, r.path, r.kind FROM chosen",
+    "overlap_suppression": f"""WITH RECURSIVE {CUR}, {_CANDIDATES}, relevant AS (SELECT f.query_id, f.fused_rank, c.path, ch.*, 100 AS result_limit FROM fused f JOIN ch USING (chunk_id) JOIN cur c USING (file_id)), {_WALK}
+SELECT query_id, r.fused_rank, r.chunk_id FROM chosen""",
+    "hybrid_end_to_end": f"""{_BM25}, {CUR},
+reach AS (SELECT q.query_id, ch.chunk_id, cur.path, round(CASE WHEN len(ch.embedding) = len(e.embedding) THEN list_dot_product(ch.embedding::DOUBLE[], e.embedding::DOUBLE[]) END, 12) AS similarity
+  FROM ch JOIN cur USING (file_id) JOIN search_queries q ON q.kind IS NULL OR lower(q.kind) = ch.kind JOIN embeddings e ON e.vec_id = q.query_id),
+by_vector AS (SELECT * FROM (SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id DESC) AS rank FROM reach WHERE similarity IS NOT NULL) WHERE rank <= 100),
+by_keyword AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM found SEMI JOIN reach USING (query_id, chunk_id)) WHERE rank <= 100),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, chunk_id) AS fused_rank FROM (SELECT query_id, chunk_id, sum(part) AS fused FROM (
+  SELECT query_id, chunk_id, 1 / (60.0::DOUBLE + rank) AS part FROM by_vector UNION ALL SELECT query_id, chunk_id, coalesce(keyword_weight, 1) / (60.0::DOUBLE + rank) FROM by_keyword JOIN search_queries USING (query_id)) GROUP BY 1, 2)),
+drops AS (SELECT * FROM (SELECT *, similarity - lead(similarity) OVER (PARTITION BY query_id ORDER BY rank) AS d FROM by_vector WHERE rank <= 20) WHERE d IS NOT NULL),
+widest AS (SELECT query_id, similarity AS above, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, rank DESC) AS k FROM drops) WHERE k = 1),
+floors AS (SELECT s.query_id, CASE WHEN spread > 0 AND d >= 75e-2 * spread THEN above END AS floor FROM (SELECT query_id, stddev_pop(similarity) AS spread FROM reach GROUP BY 1) s LEFT JOIN widest USING (query_id)),
+passed AS (SELECT query_id, fused_rank, chunk_id, path, similarity FROM fused JOIN reach USING (query_id, chunk_id) JOIN floors USING (query_id) LEFT JOIN (SELECT query_id, chunk_id, 1 AS is_keyword FROM by_keyword) USING (query_id, chunk_id)
+  WHERE floor IS NULL OR fused_rank = 1 OR coalesce(similarity, -1) >= floor OR is_keyword = 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY fused_rank) AS b FROM passed) WHERE b = 1)
+SELECT query_id, place, chunk_id, path, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS place FROM best) JOIN search_queries USING (query_id) WHERE place <= coalesce(result_limit, 10)""",
     "best_per_file": f"{_RELEVANT} SELECT query_id, path, chunk_id, fused_rank FROM best",
     "files_with_matches": f"{_RELEVANT} SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS place FROM best",
     "recall_at_1": f"{_LABELS} SELECT expected, count(*) AS queries, round(avg((label = expected)::INT), 6) AS recall FROM near WHERE rank = 1 GROUP BY 1",

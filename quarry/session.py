@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,15 +35,27 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if known:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(known)
-        return known
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quarry-checkpoints"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local one, but only if all executors are in this process (tests); on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    known = context.getConf().get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if known is None and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(known or os.path.join(tempfile.gettempdir(), "quarry-checkpoints"))
+    return known or context.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the application ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4()}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
 
 
 _SHIPPED: set[str] = set()

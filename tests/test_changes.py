@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 
 from quarry.operators import changes, intervals
+from quarry.session import shared_folder
+from quarry.sources.commits import Conflict
 from quarry.streaming.ledger import Ledger
 
 T = dt.datetime(2026, 1, 1)
@@ -153,3 +155,34 @@ def test_runs_are_taken_by_the_ledger(spark, tmp_path, monkeypatch):
     assert [(r["low"], r["high"]) for r in ledger.processed().orderBy("low").collect()] == [(0, 2), (4, 4)]
     window = changes.content_intervals(*own).filter("from_number > 0").select("path", "from_number").collect()
     assert sorted(tuple(r) for r in window) == [("gone", 4), ("kept", 4)]
+
+
+def test_two_runs_from_one_commit(spark, tmp_path):
+    one, two = Ledger(spark, str(tmp_path / "l")), Ledger(spark, str(tmp_path / "l"))
+    rows = lambda *n: spark.createDataFrame([(x, f"r{x}") for x in n], "n long, v string")
+    one.run(rows(1), "n", lambda d: d)
+
+    def meanwhile(new):
+        assert two.run(rows(1, 2), "n", lambda d: d) == 2
+        return new
+
+    with pytest.raises(Conflict):
+        one.run(rows(1, 2, 3), "n", meanwhile)
+    assert one.version() == 2 and sorted(r["n"] for r in one.output().collect()) == [1, 2]
+    assert one.run(rows(1, 2, 3), "n", lambda d: d) == 3
+    assert sorted(r["n"] for r in two.output().collect()) == [1, 2, 3]
+    assert one.clean() > 0 and sorted(r["n"] for r in one.output().collect()) == [1, 2, 3]
+    assert one.run(rows(1, 2, 3), "n", lambda d: d) == 3
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session)
