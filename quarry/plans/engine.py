@@ -48,20 +48,21 @@ EXAMPLE_CHARACTERS = 4000
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, encoder: Encoder | None = None, limits: ChunkLimits = ChunkLimits()):
+    def __init__(self, spark: SparkSession, folder: str, encoder: Encoder | None = None, limits: ChunkLimits = ChunkLimits(), pdf_reader=media.pdf_pages):
+        """``pdf_reader`` gives the texts of a PDF's pages from its bytes, None where it can't."""
         ship_package(spark)
         shared_folder(spark)
-        self.spark, self.encoder, self.limits = spark, encoder or BagOfWords(), limits
+        self.spark, self.encoder, self.limits, self.pdf_reader = spark, encoder or BagOfWords(), limits, pdf_reader
         self.store = Snapshots(spark, folder, self.encoder.identity, self.encoder.dimensions)
 
     # ---- indexing
 
-    def scan(self, root: str, options: IndexOptions = IndexOptions()) -> DataFrame:
+    def scan(self, root: str, options: IndexOptions = IndexOptions(), found: DataFrame | None = None) -> DataFrame:
         """EP-4: ``path, state`` of the folder against the index by size and time only, without reading contents.
 
         Files over a limit are ``too_large`` (indexed ones count as ``deleted`` too), those of excluded kinds ``left_out``.
         """
-        found = discover(self.spark, root)
+        found = discover(self.spark, root) if found is None else found
         verdicts = catalog.sizes_verdict(found, options.max_text_size, options.max_media_size, options.left_out())
         fit = found.join(verdicts.filter("verdict = 'ok'"), "path", "left_semi").withColumn("content_hash", F.lit(None).cast("string"))
         indexed = self.store.table("files").filter(catalog.in_scope(F.col("path"), root))
@@ -76,8 +77,9 @@ class Engine:
         if rebuild:
             self.store.rebuild()
         self.store.check()
-        states = self.scan(root, options)
-        found = discover(self.spark, root).join(states.filter("state in ('new', 'modified')"), "path")
+        listing = discover(self.spark, root).checkpoint()  # one look at the folder: what changes meanwhile waits for the next run
+        states = self.scan(root, options, listing).checkpoint()
+        found = listing.join(states.filter("state in ('new', 'modified')"), "path")
         old = self.store.table("files")
         hashed = media.with_hashes(found.drop("state")).filter("content_hash is not null")
         before = old.select("path", F.col("content_hash").alias("old_hash"), F.col("file_id").alias("old_id"))
@@ -87,15 +89,14 @@ class Engine:
         changed = listed.filter("not touched")
         chunks, skipped = self._contents(changed)
         columns = ["file_id", "path", "size", "modified_nanoseconds", "content_hash"]
-        removed = states.filter("state = 'deleted'").select("path").checkpoint()
+        removed = states.filter("state = 'deleted'").select("path")
         touched = listed.filter("touched").select(columns)
         # A touched file gets its new time; its chunks and its reason stay.
         keep = touched.select("file_id")
         chunks = chunks.unionByName(self.store.table("chunks").join(keep, "file_id", "left_semi"))
         skipped = skipped.unionByName(self.store.table("skipped").join(keep, "file_id", "left_semi"))
         summary = {r["state"]: r["count"] for r in states.groupBy("state").count().collect()}
-        self.store.replace_files(changed.select(columns).unionByName(touched), chunks, skipped, removed)
-        self._record_root(root, options, now)
+        self.store.replace_files(changed.select(columns).unionByName(touched), chunks, skipped, removed, self._roots_with(root, options, now))
         done = listed.groupBy("touched").count().collect()
         embedded = sum(r["count"] for r in done if not r["touched"])
         reasons = {f"skipped_{r['reason']}": r["count"] for r in self.store.table("skipped").join(changed.select("file_id"), "file_id", "left_semi").groupBy("reason").count().collect()}
@@ -121,8 +122,11 @@ class Engine:
         if pictures is not None:
             parts.append(pictures.filter("embedding is not null").select("file_id", F.lit("image").alias("kind"), none("int").alias("page"), none("long").alias("start_ms"), none("long").alias("end_ms"), none("int").alias("start_line"), none("int").alias("end_line"), F.lit("").alias("text"), "embedding"))
             reasons.append(pictures.filter("reason is not null").select("file_id", "reason"))
-        # Without a PDF library or a video decoder their files are unreadable here.
-        reasons.append(ids.filter("kind = 'pdf'").select("file_id", F.lit("pdf_unreadable").alias("reason")))
+        pages = media.read_pdfs(ids.filter("kind = 'pdf'"), self.pdf_reader).join(ids.select("file_id", "path"), "path").withColumn("page_id", F.monotonically_increasing_id()).checkpoint()
+        sheets = chunk_texts(pages.filter("text is not null"), "page_id", limits=self.limits).join(pages.select("page_id", "file_id", "path", "page"), "page_id")
+        parts.append(sheets.withColumn("embedding", encode(text.file_title(F.col("path")), "text")).select("file_id", F.lit("pdf").alias("kind"), "page", none("long").alias("start_ms"), none("long").alias("end_ms"), "start_line", "end_line", "text", "embedding"))
+        reasons.append(pages.filter("reason is not null").select("file_id", "reason"))
+        # Without a decoder videos and other recordings are unreadable here.
         reasons.append(ids.filter("kind = 'video' or kind = 'audio' and not lower(path) like '%.wav'").select("file_id", F.lit("recording_unreadable").alias("reason")))
         chunks, skipped = parts[0], reasons[0]
         for part in parts[1:]:
@@ -149,13 +153,13 @@ class Engine:
         bad = loaded.filter("reason is not null").withColumn("embedding", F.lit(None).cast("array<float>"))
         return good.unionByName(bad).select("file_id", "embedding", "reason")
 
-    def _record_root(self, root: str, options: IndexOptions, now: int | None) -> None:
-        """SNK-6, A13: roots inside the new one merge into it; a root inside a known one is not recorded."""
+    def _roots_with(self, root: str, options: IndexOptions, now: int | None) -> DataFrame | None:
+        """SNK-6, A13: roots inside the new one merge into it; a root inside a known one is not recorded (None)."""
         roots = self.store.table("roots")
         if roots.filter(F.lit(root).startswith(F.concat("path", F.lit("/")))).limit(1).count():
-            return
+            return None
         row = self.spark.createDataFrame([(root, json.dumps(asdict(options)), int(time.time()) if now is None else now)], "path string, options string, indexed_at long")
-        self.store.write(roots=roots.filter(~catalog.in_scope(F.col("path"), root)).unionByName(row))
+        return roots.filter(~catalog.in_scope(F.col("path"), root)).unionByName(row)
 
     def pending(self, root: str, options: IndexOptions = IndexOptions()) -> dict:
         """EP-4, AG-7."""
@@ -183,7 +187,9 @@ class Engine:
         keywords = None
         if options.kind in (None, "text", "pdf"):  # PR-6
             asked = self.spark.createDataFrame([(0, query)], "query_id int, query_text string")
-            matched = retrieval.keyword_scores(self.store.table("chunks").select("chunk_id", "text"), asked)
+            terms = retrieval.query_words(asked)
+            hits = self.store.postings_of([r["term"] for r in terms.collect()]).select("term", "chunk_id", "tf", "length")  # the words of one query
+            matched = retrieval.rank_postings(hits, terms)
             in_reach = self._scoped(scope, options.kind).select("chunk_id")
             keywords = retrieval.top_per_query(matched.join(in_reach, "chunk_id", "left_semi"), retrieval.CANDIDATES, F.desc("score"), F.col("chunk_id"))
         return self._rank(vector, keywords, None, scope, options)
@@ -194,9 +200,7 @@ class Engine:
         own = self.store.table("chunks").join(self.store.table("files").filter(F.col("path") == path).select("file_id"), "file_id", "left_semi")
         if media_kind(path) in ("image", "audio", "video"):
             row = retrieval.mean_direction(own).first()
-            if row is None:
-                raise ValueError(f"{path} is not indexed")
-            vector = row["embedding"]
+            vector = self._media_vector(path) if row is None else row["embedding"]
         else:
             with open(path, "rb") as file:
                 content = media.decode_text(file.read())
@@ -205,6 +209,19 @@ class Engine:
             vector = self.encoder.encode_query(content[:EXAMPLE_CHARACTERS])
         return self._rank(vector, None, own.select("chunk_id"), scope, options)
 
+    def _media_vector(self, path: str) -> list[float]:
+        """X-6: the vector of a picture, or of the beginning of a recording, that is not in the index."""
+        kind = media_kind(path)
+        if kind == "audio" and path.lower().endswith(".wav"):
+            first = next(iter(media.wave_windows(path)), None)
+            if first is not None and len(first[2]):
+                return self.encoder.encode_audio(first[2])
+        if kind == "image":
+            row = media.load_images(self.spark, path).filter("reason is null").first()
+            if row is not None:
+                return self.encoder.encode_image(media.to_rgb(row["pixels"], row["width"], row["height"], row["channels"]))
+        raise ValueError(f"{path} is not indexed and can't be read")
+
     def nearest(self, vector: list[float], k: int = 10, scope: str | None = None) -> DataFrame:
         """EP-5."""
         return retrieval.vector_topk(self._scoped(scope, None), vectors.literal_vector(vector), k)
@@ -277,6 +294,14 @@ class Engine:
         return "\n".join(out) + "\n"
 
 
+def summary_line(done: dict[str, int]) -> str:
+    """SNK-11: what an index run did, in one line; what did not happen is not told."""
+    told = [(done.get("indexed", 0), "indexed"), (done.get("unchanged", 0), "unchanged"), (done.get("removed", 0), "removed"), (done.get("too_large", 0), "too large"), (done.get("left_out", 0), "left out")]
+    skipped = sum(n for k, n in done.items() if k.startswith("skipped_"))
+    shown = [f"{n} {what}" for n, what in [*told, (skipped, "without content")] if n]
+    return ", ".join(shown) or "nothing to index"
+
+
 def media_kind(path: str) -> str:
     ending = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
     return next((kind for kind, endings in text.ENDINGS.items() if ending in endings), "text")

@@ -47,21 +47,65 @@ def with_hashes(files: DataFrame) -> DataFrame:
     return files.withColumn("content_hash", hashed("path"))
 
 
+#: Bytes of text that one Arrow batch of contents holds, about.
+BATCH_BYTES = 8 << 20
+
+
 def read_texts(files: DataFrame) -> DataFrame:
     """``path, text, reason`` of text files: the text, or why there is none (``binary``; null where it can't be read)."""
 
+    def one(path: str) -> tuple:
+        try:
+            with open(path, "rb") as file:
+                text = decode_text(file.read())
+        except OSError:
+            return path, None, None
+        return path, text, "binary" if text is None else None
+
+    return _read(files, one, pa.schema([("path", pa.string()), ("text", pa.string()), ("reason", pa.string())]), "path string, text string, reason string")
+
+
+def _read(files: DataFrame, one, schema: pa.Schema, ddl: str) -> DataFrame:
+    """Rows made of each path by ``one`` (a row or a list of rows), in batches of about ``BATCH_BYTES``."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                try:
-                    with open(path, "rb") as file:
-                        text = decode_text(file.read())
-                    reason = "binary" if text is None else None
-                except OSError:
-                    text = reason = None
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string()), pa.array([reason], pa.string())], ["path", "text", "reason"])
+                made = one(path)
+                for row in made if isinstance(made, list) else [made]:
+                    rows.append(row)
+                    size += 100 + sum(len(x) for x in row if isinstance(x, (str, list)))
+                if size >= BATCH_BYTES:
+                    yield _batch(rows, schema)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows, schema)
+
+    return files.select("path").mapInArrow(read, ddl)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return files.select("path").mapInArrow(read, "path string, text string, reason string")
+
+def read_pdfs(files: DataFrame, reader) -> DataFrame:
+    """JN-12: ``path, page, text, reason``: a row for each page with text, pages from 1, or one with the reason there is none.
+
+    ``reader`` gives the texts of a PDF's pages from its bytes, or None where it can't.
+    """
+
+    def one(path: str) -> list[tuple]:
+        try:
+            with open(path, "rb") as file:
+                pages = reader(file.read())
+        except OSError:
+            return [(path, None, None, None)]
+        if pages is None:
+            return [(path, None, None, "pdf_unreadable")]
+        return [(path, n, page, None) for n, page in enumerate(pages, 1) if page.strip()] or [(path, None, None, "pdf_without_text")]
+
+    return _read(files, one, pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("reason", pa.string())]), "path string, page int, text string, reason string")
 
 
 def pdf_pages(raw: bytes) -> list[str] | None:
@@ -127,8 +171,21 @@ def probe(path: str, tool: str = "ffprobe") -> dict | None:
     return parse_probe(done.stdout.decode("utf-8", "replace")) if done.returncode == 0 else None
 
 
+#: Fixed value: samples a second that encoders hear.
+HEARD_RATE = 16_000
+
+
+def resampled(samples: np.ndarray, rate: int, to: int = HEARD_RATE) -> np.ndarray:
+    """The same sound at another rate: its spectrum cut off or continued with zeros."""
+    if rate == to or not len(samples):
+        return samples
+    wanted = max(1, round(len(samples) * to / rate))
+    spectrum = np.fft.rfft(samples)[: wanted // 2 + 1]
+    return np.fft.irfft(spectrum, wanted) * (wanted / len(samples))
+
+
 def wave_windows(path: str, window: int = 30_000, hop: int = 25_000) -> Iterator[tuple[int, int, np.ndarray]]:
-    """SRC-8 for WAV files: start and end in milliseconds and the mono samples of each window; the tail only if uncovered."""
+    """SRC-8 for WAV files: start and end in milliseconds and the mono samples of each window at 16 kHz; the tail only if uncovered."""
     with wave.open(path, "rb") as file:
         rate, total, width, channels = file.getframerate(), file.getnframes(), file.getsampwidth(), file.getnchannels()
         kinds = {1: np.uint8, 2: np.int16, 4: np.int32}
@@ -140,7 +197,7 @@ def wave_windows(path: str, window: int = 30_000, hop: int = 25_000) -> Iterator
             file.setpos(start)
             raw = np.frombuffer(file.readframes(long), kinds[width]).reshape(-1, channels).astype(np.float64).mean(1)
             samples = (raw - 128) / 128 if width == 1 else raw / float(1 << (8 * width - 1))
-            yield start * 1000 // rate, (start + len(samples)) * 1000 // rate, samples
+            yield start * 1000 // rate, (start + len(samples)) * 1000 // rate, resampled(samples, rate)
             covered = start + len(samples)
             start += step
 

@@ -1,10 +1,14 @@
+import io
+import json
 import math
 import os
 import struct
 import wave
 
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.__main__ import main
 from quarry.functions.render import render
 from quarry.plans.engine import Engine, IndexOptions, SearchOptions
 from quarry.sources import media
@@ -102,3 +106,93 @@ def test_streams(spark, small, tmp_path):
     query = updates.latest_states(updates.changed_files(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("states").count() == rows.filter("path is not null").select("path").distinct().count()
+
+
+def pages_of(raw):
+    return raw[5:].decode().split("\f") if raw.startswith(b"%PDF-") else None
+
+
+def test_pages_of_pdfs(spark, tmp_path):
+    src = tmp_path / "papers"
+    src.mkdir()
+    (src / "two.pdf").write_bytes("%PDF-first page about harbours\f\fthird page about lanterns in the fog".encode())
+    (src / "blank.pdf").write_bytes(b"%PDF- \f ")
+    (src / "broken.pdf").write_bytes(b"nothing")
+    engine = Engine(spark, str(tmp_path / "index"), pdf_reader=pages_of)
+    done = engine.index(str(src))
+    assert done["skipped_pdf_without_text"] == 1 and done["skipped_pdf_unreadable"] == 1
+    found = engine.search("lanterns").collect()
+    assert [(r["kind"], r["page"]) for r in found][:1] == [("pdf", 3)]
+    assert "two.pdf  page 3" in render(engine.search("lanterns"), "text", str(src))
+
+
+def files_below(folder):
+    return {str(p) for p in folder.rglob("*.parquet")}
+
+
+def test_a_change_writes_only_its_buckets(spark, tmp_path):
+    src = tmp_path / "notes"
+    src.mkdir()
+    for i in range(30):
+        (src / f"n{i}.txt").write_text(f"note number {i} about kettles and word{i}\n")
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.index(str(src))
+    before = files_below(tmp_path / "index")
+    (src / "n7.txt").write_text("now it tells of turbines\n")
+    engine.index(str(src))
+    new = [p for p in files_below(tmp_path / "index") - before]
+    by_table = {t: sum(f"/{t}/" in p for p in new) for t in ("files", "chunks", "postings")}
+    assert all(1 <= n <= 2 for n in by_table.values()), by_table
+    version = engine.store.version()
+    assert engine.index(str(src))["indexed"] == 0
+    assert {r["path"].rsplit("/", 1)[-1] for r in engine.search("turbines").collect()} >= {"n7.txt"}
+    texts = engine.store.table("postings").filter("term = 'word7'").count(), engine.store.table("postings").filter("term = 'word8'").count()
+    assert texts == (0, 1) and engine.store.table("chunks").count() == 30
+    engine.store.compact()
+    assert engine.store.table("chunks").count() == 30 and engine.store.version() >= version
+    assert engine.forget(str(src / "n8.txt")) == 1 and engine.store.table("postings").filter("term = 'word8'").count() == 0
+
+
+def test_stored_words_rank_like_texts(spark, tmp_path, small):
+    from quarry.operators import retrieval
+    from quarry.plans.search_queries import _chunks
+
+    chunks = _chunks(spark, small).withColumn("embedding", F.lit(None).cast("array<float>"))
+    store = Snapshots(spark, str(tmp_path / "s"), "none", 64)
+    store.write(chunks=chunks)
+    queries = spark.read.parquet(f"{small}/search_queries.parquet").select("query_id", "query_text")
+    terms = retrieval.query_words(queries)
+    stored = retrieval.rank_postings(store.postings_of([r["term"] for r in terms.collect()]), terms)
+    rows = lambda d: sorted((r[0], r[1], round(r[2], 9)) for r in d.collect())
+    assert rows(stored) == rows(retrieval.keyword_scores(chunks, queries))
+
+
+def test_sounds_at_other_rates(tmp_path):
+    slow = [x for _, _, x in media.wave_windows(write_tone(tmp_path / "slow.wav", 440, 8000))][0]
+    quick = [x for _, _, x in media.wave_windows(write_tone(tmp_path / "quick.wav", 440, 44100))][0]
+    assert len(slow) == len(quick) == 32000
+    assert abs(slow[4000:28000] - quick[4000:28000]).max() < 0.02
+
+
+def write_tone(path, hertz, rate):
+    with wave.open(str(path), "wb") as file:
+        file.setnchannels(1), file.setsampwidth(2), file.setframerate(rate)
+        file.writeframes(b"".join(struct.pack("<h", round(9000 * math.sin(2 * math.pi * hertz * i / rate))) for i in range(rate * 2)))
+    return str(path)
+
+
+def test_command_line(spark, folder, tmp_path):
+    def run(*arguments):
+        out = io.StringIO()
+        code = main(["--index", str(tmp_path / "index"), *arguments], spark, out)
+        return code, out.getvalue()
+
+    assert run("index", str(folder)) == (0, "6 indexed, 2 without content\n")
+    code, shown = run("search", "kettle garden", str(folder), "-n", "1", "-l")
+    assert (code, shown) == (0, "a.txt\n")
+    assert json.loads(run("search", "kettle garden", "--json", "-k", "text")[1])[0]["kind"] == "text"
+    assert run("search", "kettle", str(tmp_path / "elsewhere"))[0] == 1
+    tone(tmp_path / "new.wav", 200)  # not in the index
+    assert "low.wav" in run("similar", str(tmp_path / "new.wav"), str(folder), "--all")[1]
+    assert "images" in run("status", str(folder))[1]
+    assert run("forget", str(folder))[1].endswith("files forgotten\n")
