@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,11 +73,34 @@ def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.with_canonical(table(spark, sf, "documents"))
 
 
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.lookalike_classes(table(spark, sf, "documents"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_files, p3_found, p3_neighbours, p5_found, p5_ranking, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_canonical)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_files, p3_found, p3_neighbours, p5_found, p5_ranking, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_classes, p8_canonical)}
+
+# The looks of texts character by character: what each becomes is told by a table of this module's own, from Python's
+# character database; white space, marks of direction and the like are taken by their categories; a joiner after a pictograph is kept.
+_SPACES = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Zs")
+_HIDDEN = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Cf" and not 0x600 <= ord(c) < 0x606 or 0xFE00 <= ord(c) < 0xFE10)
+_PLAIN = {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(0x80, 0x1F000)) if unicodedata.decomposition(c).split(" ")[0] in lookalike.ALIKE_FORMS and c not in lookalike.DIFFERENT_FORMS and " " not in unicodedata.normalize("NFKC", c)}
+_PLAIN = {c: to for c, to in _PLAIN.items() if len(to) == 1 or c in lookalike.several_forms()} | dict(lookalike.LOOK_ALIKES)
+_PLAIN = {c: "".join(lookalike.LOOK_ALIKES.get(x, x) for x in to) for c, to in _PLAIN.items()} | {c: " " for c in _SPACES}
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_PIECES = f"list_transform(string_split(nfc_normalize(translate(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '([\\x{{2600}}-\\x{{27BF}}\\x{{FE0F}}\\x{{1F000}}-\\x{{1FAFF}}])\\x{{200D}}', '\\1' || chr(57344), 'g'), '{_HIDDEN}', '')), ''), lambda c: coalesce(element_at(m, c)[1], c))"
+_LOOKS = f"""WITH t AS (SELECT doc_id, text, map({_list(_PLAIN)}, {_list(_PLAIN.values())}) AS m FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]')),
+forms AS (SELECT doc_id, text, nfc_normalize(array_to_string({_PIECES}, '')) AS look FROM t
+  UNION ALL SELECT doc_id, text, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+looks AS (SELECT * FROM forms WHERE regexp_matches(look, '\\S'))"""
 
 SQL: dict[str, str] = {
     "p1_found": r"""SELECT DISTINCT chunk_id FROM chunks
@@ -87,6 +111,7 @@ WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) >= 9e-1 * sqrt(a.n) * s
     "p3_neighbours": """WITH v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM chunks WHERE len(embedding) > 0 AND chunk_id IS NOT NULL),
 s AS (SELECT a.chunk_id, b.chunk_id AS neighbour, max(round(list_dot_product(a.e, b.e) / (a.n * b.n), 7)) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id AND len(a.e) = len(b.e) WHERE a.chunk_id % 100 = 0 AND a.n > 0 AND b.n > 0 GROUP BY 1, 2)
 SELECT chunk_id, neighbour FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY s DESC, neighbour) AS k FROM s) WHERE k <= 10""",
-    "p8_found": f"""WITH c AS (SELECT doc_id, text, form FROM (SELECT doc_id, text, {lookalike.canonical_sql("text")} AS form FROM documents) WHERE regexp_matches(form, '\\S'))
-SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
+    "p8_found": f"{_LOOKS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id",
+    "p8_classes": f"""{_LOOKS}, classes AS (SELECT look, min(doc_id) AS class_id FROM looks GROUP BY 1 HAVING count(DISTINCT text) > 1)
+SELECT DISTINCT doc_id, class_id, min(doc_id) OVER (PARTITION BY look, text) AS spelling_id FROM looks JOIN classes USING (look)""",
 }

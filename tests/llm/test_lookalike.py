@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from quarry.llm.lookalike import canonical_sql, lookalike_pairs, several_forms, single_forms, with_canonical
+from quarry.llm.lookalike import LOOK_ALIKES, canonical_sql, look_alikes, lookalike_classes, lookalike_pairs, several_forms, single_forms, with_canonical
 
 DOCS = "doc_id long, text string, canonical string"
 CONNECTION = duckdb.connect()
@@ -51,3 +51,22 @@ def test_a_large_group_of_copies_makes_no_pairs(spark):
     pairs = lookalike_pairs(frame)
     assert pairs.count() == 19_999
     assert lookalike_pairs(frame.filter("doc_id <> 7")).count() == 0
+
+
+def test_the_public_table(spark):
+    table = dict(look_alikes(spark))
+    # All of the small table follow from the rule, and more do; letters that their readers tell apart stay apart.
+    assert all(table[c] == to for c, to in LOOK_ALIKES.items()) and len(table) > 150
+    assert {c: table.get(c) for c in "ɑναսհᎪꓮ"} == dict(zip("ɑναսհᎪꓮ", "avauhAA"))
+    assert not {"ı", "σ", "ß", "ж", "0", "é", "l", "ո"} & set(table) and table["ο"] == "o"
+    sql = canonical_sql("t", look_alikes(spark))
+    one = lambda t: CONNECTION.execute(f"SELECT {sql} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone()[0]
+    assert one("ԝaνe սp") == "wave up"
+    assert all(one(a) == one(b) for a, b in ALIKE) and all(one(a) != one(b) for a, b in DIFFERENT)
+
+
+def test_classes(spark):
+    rows = [(5, "one turbine", "clash"), (2, "οne turbine", None), (3, "one turbine", None), (4, "One turbine", None), (7, "οne turbine", None), (5, "one turbine", None), (9, None, None), (None, "оne turbine", None)]
+    frame = spark.createDataFrame(rows, DOCS)
+    assert sorted(tuple(r) for r in lookalike_classes(frame).collect()) == [(2, 2, 2), (3, 2, 3), (5, 2, 3), (7, 2, 2)]
+    assert lookalike_classes(frame.limit(0)).count() == 0
