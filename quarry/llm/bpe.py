@@ -30,8 +30,20 @@ _BETWEEN_RUNS = re.compile(r"(?<=\S)[ \t\r\n]")
 #: Characters taken apart at once.
 AT_ONCE = 2_000_000
 
-#: Words longer than this stay out of the trie, so that it can't fill with texts without spaces.
-LONGEST_SHARED_WORD = 64
+#: Words longer than this leave no nodes in the trie, so that it can't fill with texts without spaces. They are visited in
+#: the same order, and the states of a prefix shared with the one before are taken from there.
+LONGEST_KEPT_WORD = 64
+
+
+def _shared_prefix(a: bytes, b: bytes) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # a[:low] == b[:low] holds
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def _byte_names() -> dict[str, int]:
@@ -144,10 +156,9 @@ class TrieEncoder:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
-    def _alone(self, word: bytes) -> bytes:
-        """The encoding of one word without the trie: the same states, forgotten afterwards."""
-        last = [-1]
-        for end in range(1, len(word) + 1):
+    def _follow(self, word: bytes, last: list[int]) -> bytes:
+        """The encoding of one word from the states of a prefix of it; ``last`` becomes the states of all its prefixes."""
+        for end in range(len(last), len(word) + 1):
             last.append(self._last_token(word, end, last))
         at, out = len(word), []
         while at:
@@ -163,12 +174,15 @@ class TrieEncoder:
         child, lasts, befores, length = self._child, self._last, self._before, self._length
         back, ends, pairs, known, compatible = self._back.get, self._ends, self._pairs.get, self._words, self._compatible
         path, states, previous = [0], [-1], b""
+        long_word, long_states = b"", [-1]
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles
         for word, raw in sorted((w.encode("utf-8", "replace"), w) for w in words):
             size = len(word)
-            if size > LONGEST_SHARED_WORD:
-                known[raw] = self._alone(word)
+            if size > LONGEST_KEPT_WORD:
+                del long_states[_shared_prefix(word, long_word) + 1 :]
+                known[raw] = self._follow(word, long_states)
+                long_word = word
                 continue
             if previous[: len(path) - 1] == word[: len(path) - 1]:
                 shared = len(path) - 1

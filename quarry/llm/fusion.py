@@ -12,6 +12,8 @@ from quarry.session import shared_folder
 DAMPING = 0.7
 #: Rounds stop when no probability moves by more than this, relative to 1 / n.
 TOLERANCE = 1e-9
+#: Rounds at most.
+ROUNDS = 1000
 #: Candidates of a query that one task ranks; larger queries are ranked by all tasks together, with the same result.
 MOST_IN_TASK = 500_000
 #: Stretches that the ranks of a larger query are cut into.
@@ -47,7 +49,7 @@ def rank_walk(scores: list[np.ndarray], weights: list[float], damping: float = D
     for weight, order, first, _, _ in orders:
         stays[order] += weight / share * (1 - first / n)
     now = np.full(n, 1 / n)
-    for _ in range(1000):
+    for _ in range(ROUNDS):
         new = now * stays
         for weight, order, _, past, missing in orders:
             sums = np.concatenate([[0.0], np.cumsum(now[order])])
@@ -62,6 +64,40 @@ def rank_walk(scores: list[np.ndarray], weights: list[float], damping: float = D
     return now
 
 
+def upward_walk(scores: list[np.ndarray], weights: list[float], damping: float = DAMPING) -> np.ndarray:
+    """As :func:`rank_walk`, but every step goes up: to one of the items ranked higher, each as likely, and from the top to a restart.
+
+    This is the plainer walk, kept to compare. An item gets ``1 / (rank - 1)`` of the probability of each one below it,
+    so a score's leader gets nearly all of the second's, half of the third's, and so on: leading one score outweighs
+    standing well in all (:func:`fuse_scores` therefore uses the other walk).
+    """
+    n, total = len(scores[0]), 0.0
+    orders = []
+    for values, weight in zip(scores, weights):
+        if weight > 0 and not np.isnan(values).all():
+            keyed = np.where(np.isnan(values), -np.inf, values)
+            order = np.argsort(-keyed, kind="stable")
+            ordered = -keyed[order]
+            orders.append((weight, order, np.searchsorted(ordered, ordered, side="left"), np.searchsorted(ordered, ordered, side="right"), np.isinf(ordered)))
+            total += weight
+    now = np.full(n, 1 / n)
+    for _ in range(ROUNDS):
+        new = np.zeros(n)
+        for weight, order, above, past, missing in orders:
+            sent = np.where(above > 0, now[order] / np.maximum(above, 1), 0)
+            sums = np.concatenate([[0.0], np.cumsum(sent)])
+            gain = sums[-1] - sums[past]
+            gain[missing] = 0
+            new[order] += weight / total * gain
+        new *= damping
+        new += (1 - new.sum()) / n
+        moved = np.abs(new - now).max() * n
+        now = new
+        if moved < TOLERANCE:
+            break
+    return now
+
+
 def _above(items: DataFrame, score: str, value: Column) -> DataFrame:
     """``query_id, <score>_at, <score>, through``: the sum of ``value`` over the items whose score is that level or better.
 
@@ -81,7 +117,7 @@ def _higher_than(score: str):
     return lambda x: x > F.col(score)
 
 
-def rank_walk_large(items: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = 200) -> DataFrame:
+def rank_walk_large(items: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """``query_id, chunk_id, similarity, stationarity``: :func:`rank_walk` of large queries, by DataFrame operators.
 
     ``items``: ``query_id, chunk_id, similarity, keyword, keyword_weight``, one row a candidate, NaN as null.

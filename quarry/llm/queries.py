@@ -90,6 +90,7 @@ _HIDDEN = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.categ
 _PLAIN = {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(0x80, 0x1F000)) if unicodedata.decomposition(c).split(" ")[0] in lookalike.ALIKE_FORMS and c not in lookalike.DIFFERENT_FORMS and " " not in unicodedata.normalize("NFKC", c)}
 _PLAIN = {c: to for c, to in _PLAIN.items() if len(to) == 1 or c in lookalike.several_forms()} | dict(lookalike.LOOK_ALIKES)
 _PLAIN = {c: "".join(lookalike.LOOK_ALIKES.get(x, x) for x in to) for c, to in _PLAIN.items()} | {c: " " for c in _SPACES}
+_PLAIN |= {c: unicodedata.normalize("NFC", lookalike.LOOK_ALIKES[d[0]] + d[1:]) for c in map(chr, range(0xC0, 0x3000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in lookalike.LOOK_ALIKES}
 
 
 def _list(values) -> str:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quarry.llm.fusion import fuse_scores, rank_walk, rank_walk_large
+from quarry.llm.fusion import fuse_scores, rank_walk, rank_walk_large, upward_walk
 
 RESULTS, QUERIES = "query_id long, chunk_id long, similarity double, keyword_score double, position string", "query_id long, keyword_weight double"
 NAN = float("nan")
@@ -85,3 +85,34 @@ def test_large_queries_get_positions(spark):
     frame = fuse_scores(spark.createDataFrame(rows, RESULTS), spark.createDataFrame([(1, 1.0)], QUERIES), most_in_task=5, tolerance=1e9)
     got = {(r["query_id"], r["position"]): r["chunk_id"] for r in frame.collect()}
     assert sorted(p for q, p in got if q == 1) == list(range(1, 13)) and got[1, 1] == 11 and got[2, 1] == 1
+
+
+def test_large_queries_converge_to_the_same(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.random(60), rng.integers(0, 12, 60).astype(float)
+    b[rng.random(60) < 0.4] = NAN
+    rows = [(1, i, float(x), None if np.isnan(y) else float(y), 0.8) for i, (x, y) in enumerate(zip(a, b))]
+    items = spark.createDataFrame(rows, "query_id long, chunk_id long, similarity double, keyword double, keyword_weight double")
+    got = {r["chunk_id"]: r["stationarity"] for r in rank_walk_large(items, 0.05).collect()}
+    assert [got[i] for i in range(60)] == pytest.approx(rank_walk([a, b], [1.0, 0.8], 0.05).tolist(), rel=1e-8)
+
+
+def test_why_the_walk_may_stay():
+    n = 40
+    up = lambda first: np.array([first, *range(n - 1, 0, -1)], float)
+    # Item 0 leads one score and is in the middle of the other; item 1 is second and first.
+    a, b = up(n + 1), up(n / 2 + 0.5)
+    assert rank_walk([a, b], [1, 1]).argmax() == 1
+    # Where item 1 is second in both, the upward walk still prefers the leader of one.
+    b[2] = n + 2
+    assert rank_walk([a, b], [1, 1]).argmax() == 1 and upward_walk([a, b], [1, 1]).argmax() != 1
+    assert upward_walk([a, b], [1, 1]).sum() == pytest.approx(1)
+    matrix = np.zeros((4, 4))
+    c = np.array([3.0, 2.0, 2.0, 1.0])
+    for i in range(4):
+        above = c > c[i]
+        matrix[i] = above / above.sum() if above.any() else 0.25
+    want = np.full(4, 0.25)
+    for _ in range(200):
+        want = 0.3 / 4 + 0.7 * want @ matrix
+    assert upward_walk([c], [1.0]) == pytest.approx(want.tolist())

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from quarry.llm import packing, tokens
-from quarry.llm.bpe import LONGEST_SHARED_WORD, TrieEncoder
+from quarry.llm.bpe import LONGEST_KEPT_WORD, TrieEncoder
 
 public = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -54,7 +54,7 @@ def test_any_text_comes_back(text):
 
 
 def test_long_and_repeated(by_ranks):
-    for text in ("a" * 5000, "aaab" * 900, "-" * 300 + " " * 500 + "x", "<|endoftext|>", "QmFz" * 2000, " " * 100, "x" * LONGEST_SHARED_WORD, "x" * (LONGEST_SHARED_WORD + 1)):
+    for text in ("a" * 5000, "aaab" * 900, "-" * 300 + " " * 500 + "x", "<|endoftext|>", "QmFz" * 2000, " " * 100, "x" * LONGEST_KEPT_WORD, "x" * (LONGEST_KEPT_WORD + 1)):
         assert ids(text) == by_ranks.encode_ordinary(text)
     other = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     other.encode_special_tokens = True
@@ -124,3 +124,17 @@ def test_fill(spark):
     assert [w[0] for w in whole] == list(range(len(whole))) and all(a[1] + a[2] == b[1] for a, b in zip(whole, whole[1:]))
     assert packing.pack_documents(spark.createDataFrame(rows, DOCS).limit(0)).count() == 0
     assert packing.container_fill(packing.pack_documents(spark.createDataFrame(rows, DOCS))).first()["fill"] <= 1
+
+
+def test_long_words_share_prefixes():
+    coder = TrieEncoder(tokens.vocabulary_path())
+    stem = "abcdefghij" * 30
+    words = [stem, stem + "x", stem + "xyz", stem[:200] + "ü" * 40, "q" * 500, stem + "x" * 300]
+    steps, real = [], coder._last_token
+    coder._last_token = lambda word, end, last: steps.append(end) or real(word, end, last)
+    together = coder.encode_batch(words)
+    # Each distinct prefix is worked out once.
+    distinct = {w.encode()[:i] for w in words for i in range(1, len(w.encode()) + 1)}
+    assert len(steps) == len(distinct)
+    coder._last_token = real
+    assert together == [TrieEncoder(tokens.vocabulary_path()).encode_batch([w])[0] for w in words]
