@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, sf, "chunks").dropDuplicates(["chunk_id"]))
+    return splitting.split_oversized(splitting.once(table(spark, sf, "chunks").select("chunk_id", "start_line", "text")))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -141,18 +141,20 @@ def split_text(text: str, limits: Limits = Limits()) -> list[tuple[int, int, str
     sizes = [len(x.encode("utf-8", "replace")) for x in lines]
     cohesion = _Cohesion(lines, limits.block)
     pieces: list[tuple[int, int, str, bool]] = []
-    start, repeated = 0, False
+    start, repeated = 0, 0  # so many lines of the piece before come again
     while start < len(lines):
         if sizes[start] > limits.max_bytes:
             pieces += [(start + 1, start + 1, part, False) for part in _split_line(lines[start], limits.max_bytes)]
-            start, repeated = start + 1, False
+            start, repeated = start + 1, 0
             continue
         end = _window_end(sizes, start, limits)
-        following, shares = end, False
+        following, again = end, 0
         if end < len(lines) and sizes[end] <= limits.max_bytes:
             # Not inside the repeated lines: each piece must bring new ones.
-            first = start + max(limits.min_lines, limits.overlap + 1 if repeated else 1)
-            pauses = [at for at in range(first, end + 1) if _pauses(lines, start, at, limits)]
+            least = start + repeated + 1
+            pauses = [at for at in range(least, end + 1) if _pauses(lines, start, at, limits)]
+            # Early pauses make small pieces: they count where there are no later ones.
+            pauses = [at for at in pauses if at >= start + limits.min_lines] or pauses
             if pauses:
                 cohesion.forget(start - limits.block)
                 low, high = start + 1, min(len(lines) - 1, end)
@@ -160,10 +162,10 @@ def split_text(text: str, limits: Limits = Limits()) -> list[tuple[int, int, str
             else:
                 for back in range(limits.overlap, 0, -1):
                     if end - back > start and _window_end(sizes, end - back, limits) > end:
-                        following, shares = end - back, True
+                        following, again = end - back, back
                         break
-        pieces.append((start + 1, end, "".join(lines[start:end]), repeated))
-        start, repeated = following, shares
+        pieces.append((start + 1, end, "".join(lines[start:end]), repeated > 0))
+        start, repeated = following, again
     return pieces
 
 
@@ -201,6 +203,12 @@ def split_oversized(chunks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return whole.select(columns).unionByName(own.filter(big).mapInArrow(cut, schema))
 
 
+def once(chunks: DataFrame) -> DataFrame:
+    """One row for each chunk id; rows without an id all stay. Ids are shuffled, and texts only of ids that occur again."""
+    again = chunks.groupBy("chunk_id").count().filter("count > 1").select("chunk_id")
+    return chunks.join(again, "chunk_id", "left_anti").unionByName(chunks.join(again, "chunk_id", "left_semi").dropDuplicates(["chunk_id"]))
+
+
 def split_chunks(pieces: DataFrame) -> DataFrame:
     """The chunks that had to be cut."""
     return pieces.filter(F.col("n_pieces") > 1).select("chunk_id").distinct()

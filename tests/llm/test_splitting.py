@@ -2,7 +2,7 @@ from hypothesis import given, settings, strategies as st
 
 from pyspark.sql import functions as F
 
-from quarry.llm.splitting import Limits, is_oversized, line_count, split_chunks, split_oversized, split_text
+from quarry.llm.splitting import Limits, is_oversized, line_count, once, split_chunks, split_oversized, split_text
 
 SCHEMA = "chunk_id long, start_line int, end_line int, text string, piece string"
 
@@ -71,3 +71,19 @@ def test_table(spark):
         if r["text"] is not None:
             assert r["n"] == line_total(r["text"]) and r["big"] == (len(r["text"].encode()) > 3000 or r["n"] > 30)
     assert split_oversized(frame.limit(0)).count() == 0
+
+
+def test_a_pause_among_few_long_lines():
+    # Three lines fill a window: the paragraph's end after the second is early, but the only pause there is.
+    long = "word " * 180 + "end.\n"
+    text = long + long + "\n" + long + long + long
+    pieces = split_text(text)
+    assert pieces[0][:2] == (1, 2) or pieces[0][:2] == (1, 3)
+    assert not pieces[1][3] and all(len(p.encode()) <= 3000 for _, _, p, _ in pieces)
+
+
+def test_one_row_an_id(spark):
+    rows = [(1, 1, "a\nb"), (1, 1, "a\nb"), (2, 1, "c"), (3, None, None)]
+    frame = spark.createDataFrame(rows, "chunk_id long, start_line int, text string")
+    assert sorted(r["chunk_id"] for r in once(frame).collect()) == [1, 2, 3]
+    assert once(frame.limit(0)).count() == 0
