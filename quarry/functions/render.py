@@ -6,7 +6,6 @@ import json
 import os
 from urllib.parse import quote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions import text
@@ -25,12 +24,13 @@ def file_uri(path: str | None) -> str | None:
 
 
 def file_uris(column: Column) -> Column:
-    """S-6 as a Pandas function, as the built-in URL encoding has other rules."""
-    @F.pandas_udf("string")
-    def encode(paths: pd.Series) -> pd.Series:
-        return paths.map(file_uri, na_action="ignore")
-
-    return encode(column)
+    """S-6 as an expression: the form encoding of the JVM, turned into percent encoding."""
+    slashes = F.translate(column, "\\", "/")
+    share = slashes.startswith("//")
+    coded = F.url_encode(F.when(share, F.substr(slashes, F.lit(3))).otherwise(F.ltrim(slashes, F.lit("/"))))
+    for code, shown in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/"), ("%3A", ":")):
+        coded = F.replace(coded, F.lit(code), F.lit(shown))
+    return F.concat(F.when(share, F.lit("file://")).otherwise(F.lit("file:///")), coded)
 
 
 def content(kind: Column) -> Column:

@@ -196,3 +196,15 @@ def test_command_line(spark, folder, tmp_path):
     assert "low.wav" in run("similar", str(tmp_path / "new.wav"), str(folder), "--all")[1]
     assert "images" in run("status", str(folder))[1]
     assert run("forget", str(folder))[1].endswith("files forgotten\n")
+
+
+def test_a_day_of_sightings(spark, small, tmp_path):
+    from quarry.streaming import updates
+
+    rows = spark.read.parquet(f"{small}/file_sightings.parquet")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = updates.sightings_per_day(updates.changed_files(spark, str(tmp_path / "in")), "400 days")
+    query = stream.writeStream.outputMode("update").format("memory").queryName("days").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = rows.filter("arrived_at is not null").dropDuplicates(["scan_id", "path", "arrived_at"]).count()
+    assert spark.table("days").selectExpr("sum(sightings)").first()[0] == want

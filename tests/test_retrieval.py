@@ -165,3 +165,27 @@ def test_told_texts(spark):
     assert one(spark, text.display_path(F.lit("/a/b/c"), "/a/b")) == "c" and one(spark, text.display_path(F.lit("/a/bc"), "/a/b")) == "/a/bc" and one(spark, text.display_path(F.lit("/a"), "/a")) == "."
     kinds = {"a.TS": "text", "b.ogg": "audio", "c.JPG": "image", "d.pdf": "pdf", "e.mkv": "video", "noending": "text", "x/.jpg": "image"}
     assert {p: one(spark, text.kind_of_path(F.lit(p))) for p in kinds} == kinds
+
+
+def test_hits_by_line_page_and_second(spark):
+    from quarry.operators.evaluation import recall_at
+
+    results = spark.createDataFrame(
+        [(1, 1, "a", 5, 9, None, None, None), (2, 1, "b", 1, 4, None, None, None), (3, 1, "p", None, None, 2, None, None), (4, 1, "m", None, None, None, 1000, 4000), (5, 1, "z", None, None, None, None, None), (6, 1, "q", 1, 2, None, None, None), (6, 2, "a", 1, 2, None, None, None)],
+        "query_id long, place int, path string, start_line int, end_line int, page int, start_ms long, end_ms long",
+    )
+    labels = spark.createDataFrame(
+        [(1, "a", None, 7, None, None), (2, "b", None, 9, None, None), (3, "p", None, None, 2, None), (4, "m", None, None, None, 4.0), (5, "y", ["z"], None, None, None), (6, "a", None, None, None, None), (7, "a", None, None, None, None)],
+        "query_id long, expected string, also_correct array<string>, expected_line int, expected_page int, expected_seconds double",
+    )
+    assert [tuple(r)[:2] for r in recall_at(results, labels).collect()] == [(7, 4)]
+    assert [tuple(r)[:2] for r in recall_at(results, labels, 2).collect()] == [(7, 5)]
+    assert tuple(recall_at(results, labels.limit(0)).first()) == (0, 0, 0.0)
+
+
+def test_file_uris(spark):
+    from quarry.functions.render import file_uri, file_uris
+
+    paths = ["/a b/c*d~e/ü+%.txt", "//host/share/x y", "C:\\Users\\x", "/", "rel/a", None]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select(file_uris(F.col("path"))).collect()
+    assert [r[0] for r in rows] == [file_uri(p) for p in paths]
