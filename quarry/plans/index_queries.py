@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarry.functions import render, segments, text
 from quarry.operators import catalog, changes, chunking
 from quarry.plans.search_queries import CH, CUR, SCOPE
-from quarry.session import scratch_folder, table
+from quarry.session import scratch_folder, table, wide_table
 from quarry.streaming.ledger import Ledger
 
 #: A fixed present for ages, so that results can be compared.
@@ -204,7 +204,7 @@ def fit_within(spark, sf):
 
 
 def text_chunks(spark, sf):
-    return chunking.chunk_texts(table(spark, sf, "documents"), "doc_id")
+    return chunking.chunk_texts(wide_table(spark, sf, "documents", "doc_id", "text"), "doc_id")
 
 
 def plan_batches(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from quarry.functions import encoders, text, vectors
 from quarry.operators import catalog, retrieval
 from quarry.operators.batch_search import batch_topk
-from quarry.session import shared_folder, table
+from quarry.session import shared_folder, table, wide_table
 
 SCOPE = "/home/tel/code"
 #: One of a hundred rows is a query.
@@ -30,7 +30,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """With repeated rows, as what follows counts an id once: so vectors aren't shuffled to find the repeats."""
-    return catalog.with_known_kind(table(spark, sf, "chunks").select("chunk_id", "file_id", "kind", "embedding")).filter("chunk_id is not null")
+    return catalog.with_known_kind(wide_table(spark, sf, "chunks", "chunk_id", "file_id", "kind", "embedding")).filter("chunk_id is not null")
 
 
 def _distinct_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,11 +109,11 @@ def keyword_strings(spark, sf):
 
 def token_stats(spark, sf):
     tokens = text.words(F.col("text"))
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.size(tokens).alias("tokens"), F.size(F.array_distinct(tokens)).alias("terms"))
+    return wide_table(spark, sf, "documents", "doc_id", "text").filter("text is not null").select("doc_id", F.size(tokens).alias("tokens"), F.size(F.array_distinct(tokens)).alias("terms"))
 
 
 def _keyword_scores(spark, sf) -> DataFrame:
-    return retrieval.keyword_scores(table(spark, sf, "chunks").select("chunk_id", "text"), table(spark, sf, "search_queries").select("query_id", "query_text"))
+    return retrieval.keyword_scores(wide_table(spark, sf, "chunks", "chunk_id", "text"), table(spark, sf, "search_queries").select("query_id", "query_text"))
 
 
 def keyword_match_all(spark, sf):

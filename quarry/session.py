@@ -34,6 +34,18 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, directory: str, name: str, *columns: str) -> DataFrame:
+    """As :func:`table`, for work that costs far more than reading.
+
+    A scan of so few parts that half the cores would be idle is spread over all of them. Such a scan is small, as a part
+    is at most ``spark.sql.files.maxPartitionBytes``; a larger one is read as it lies, without a shuffle.
+    """
+    rows = table(spark, directory, name)
+    rows = rows.select(*columns) if columns else rows
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows._jdf.queryExecution().toRdd().getNumPartitions() <= cores else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
