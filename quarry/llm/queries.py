@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import fusion, handwritten, lookalike, neighbours, packing, splitting, tokens
-from quarry.session import table
+from quarry.session import table, wide_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return splitting.split_oversized(splitting.once(table(spark, sf, "chunks").select("chunk_id", "start_line", "text")))
+    return splitting.split_oversized(splitting.once(wide_table(spark, sf, "chunks", "chunk_id", "start_line", "text")))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_files(spark: SparkSession, sf: str) -> DataFrame:
-    features = handwritten.file_features(table(spark, sf, "chunks"), table(spark, sf, "files"))
+    features = handwritten.file_features(wide_table(spark, sf, "chunks", "file_id", "kind", "start_line", "end_line", "text"), table(spark, sf, "files"))
     return handwritten.judge(features).withColumn("score", F.round("score", 6))
 
 
@@ -35,13 +35,13 @@ SIMILAR = 0.90
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    near = neighbours.nearest_neighbours(table(spark, sf, "chunks"), floor=SIMILAR)
+    near = neighbours.nearest_neighbours(wide_table(spark, sf, "chunks", "chunk_id", "embedding"), floor=SIMILAR)
     return neighbours.similar_pairs(near, SIMILAR)
 
 
 def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 10 nearest of every hundredth chunk among all chunks."""
-    near = neighbours.nearest_neighbours(table(spark, sf, "chunks"), queries=F.col("id") % 100 == 0)
+    near = neighbours.nearest_neighbours(wide_table(spark, sf, "chunks", "chunk_id", "embedding"), queries=F.col("id") % 100 == 0)
     return near.select(F.col("id").alias("chunk_id"), "neighbour")
 
 
@@ -54,11 +54,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.encode_texts(table(spark, sf, "documents"))
+    return tokens.encode_texts(wide_table(spark, sf, "documents", "doc_id", "text"))
 
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf, "documents"))
+    return packing.pack_documents(wide_table(spark, sf, "documents", "doc_id", "text"))
 
 
 def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,15 +70,15 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.with_canonical(table(spark, sf, "documents"))
+    return lookalike.with_canonical(wide_table(spark, sf, "documents", "doc_id", "text"))
 
 
 def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.lookalike_classes(table(spark, sf, "documents"))
+    return lookalike.lookalike_classes(wide_table(spark, sf, "documents", "doc_id", "text"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.lookalike_pairs(table(spark, sf, "documents"))
+    return lookalike.lookalike_pairs(wide_table(spark, sf, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_files, p3_found, p3_neighbours, p5_found, p5_ranking, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_classes, p8_canonical)}
