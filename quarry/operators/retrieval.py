@@ -98,11 +98,15 @@ def rank_postings(hits: DataFrame, terms: DataFrame, key: str = "chunk_id") -> D
     df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weighted = df.crossJoin(F.broadcast(corpus))  # one row
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.select("term", "mean_length", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
+    weighted = weighted.select("term", "df", "mean_length", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
+    # Only keys that hold a query's rarest word are looked at; a word that nothing holds comes first, without a df, and meets nothing.
+    asked = terms.join(weighted, "term", "left").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "idf", "mean_length"))).alias("words"))
+    rarest = asked.filter(F.col("words")[0]["df"].isNotNull()).select("query_id", F.col("words")[0]["term"].alias("term"), "words")
+    each = found.select("term", key).join(rarest, "term").select("query_id", key, F.size("words").alias("wanted"), F.explode("words").alias("word"))
+    each = each.select("query_id", key, "wanted", "word.term", "word.idf", "word.mean_length")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = found.join(terms, "term").join(weighted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    return scored.join(wanted, "query_id").filter("matched = wanted").select("query_id", key, "score")
+    scored = each.join(found, ["term", key]).groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.max("wanted").alias("wanted"))
+    return scored.filter("matched = wanted").select("query_id", key, "score")
 
 
 def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -118,8 +122,8 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id")
     each = chunks.filter(F.col(key).isNotNull()).select(key, words.alias("words"))
     each = each.select(key, F.size("words").alias("length"), F.posexplode(F.concat(F.array(F.lit(LENGTH)), "words")).alias("at", "term"))
     wanted = terms.select("term").distinct().unionByName(chunks.sparkSession.range(1).select(F.lit(LENGTH).alias("term")))
-    kept = each.join(wanted, "term", "left_semi").groupBy("term", key, "length").agg(F.countDistinct("at").cast("double").alias("tf"))
-    return rank_postings(kept.checkpoint(), terms, key)  # words of queries and lengths; read three times
+    kept = each.join(wanted, "term", "left_semi").repartition("term", key).groupBy("term", key, "length").agg(F.countDistinct("at").cast("double").alias("tf"))
+    return rank_postings(kept.checkpoint(), terms, key)  # words of queries and lengths, by word and row; read four times
 
 
 def top_per_query(scored: DataFrame, k: int, *order: Column) -> DataFrame:

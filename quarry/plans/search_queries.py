@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quarry.functions import encoders, text, vectors
 from quarry.operators import catalog, retrieval
-from quarry.operators.batch_search import batch_topk
+from quarry.operators.batch_search import batch_topk, spread_of_moments, topk_and_moments
 from quarry.session import shared_folder, table, wide_table
 
 SCOPE = "/home/tel/code"
@@ -186,19 +186,26 @@ def hybrid_end_to_end(spark, sf):
     """
     queries = table(spark, sf, "search_queries").select("query_id", "query_text", F.coalesce("keyword_weight", F.lit(1.0)).alias("keyword_weight"), F.lower("kind").alias("wanted"), F.coalesce("result_limit", F.lit(10)).alias("result_limit"))
     asked = queries.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
-    placed = catalog.chunks_with_path(_chunks(spark, sf).select("chunk_id", "file_id", "kind", "embedding"), table(spark, sf, "files"))
-    # A stated query set against all rows; the queries are few and are left to Spark to send or not.
-    reach = placed.join(asked.select("query_id", "asked", "wanted"), F.col("wanted").isNull() | (F.col("kind") == F.col("wanted")))
     shared_folder(spark)
-    scored = reach.select("query_id", "chunk_id", "path", F.round(vectors.dot(F.col("embedding"), F.col("asked")), 12).alias("similarity")).checkpoint()  # numbers only; read three times
-    spread = scored.groupBy("query_id").agg(F.coalesce(F.stddev_pop("similarity"), F.lit(0.0)).alias("spread"))
-    by_vector = retrieval.top_per_query(scored.filter("similarity is not null"), retrieval.CANDIDATES, F.desc("similarity"), F.desc("chunk_id"))
-    matched = _keyword_scores(spark, sf).withColumn("score", F.round("score", 9)).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-    by_keyword = retrieval.top_per_query(matched, retrieval.CANDIDATES, F.desc("score"), F.col("chunk_id")).join(queries.select("query_id", "keyword_weight"), "query_id")
+    once = _chunks(spark, sf)
+    paths = catalog.chunks_with_path(once.select("chunk_id", "file_id"), table(spark, sf, "files")).select("chunk_id", "path")
+    placed = once.select("chunk_id", "kind", "embedding").join(paths, "chunk_id").checkpoint()  # by id; no vector is shuffled twice; read four times
+    # All pairs of chunks and queries are compared; of them leave a task the first ones of a query and the moments of all.
+    found = topk_and_moments(placed, asked, retrieval.CANDIDATES).checkpoint()
+    spread = spread_of_moments(found)
+    each = found.select("query_id", F.explode(F.arrays_zip("ids", "similarities")).alias("x")).select("query_id", F.col("x.ids").alias("chunk_id"), F.round("x.similarities", 12).alias("similarity"))
+    by_vector = retrieval.top_per_query(each, retrieval.CANDIDATES, F.desc("similarity"), F.desc("chunk_id")).checkpoint()  # two short lists a query, read several times
+    wanted = F.col("wanted").isNull() | (F.col("kind") == F.col("wanted"))
+    matched = _keyword_scores(spark, sf).withColumn("score", F.round("score", 9)).join(asked.select("query_id", "wanted").distinct(), "query_id").join(placed.select("chunk_id", "kind"), "chunk_id").filter(wanted).select("query_id", "chunk_id", "score").distinct()
+    by_keyword = retrieval.top_per_query(matched, retrieval.CANDIDATES, F.desc("score"), F.col("chunk_id")).join(queries.select("query_id", "keyword_weight"), "query_id").checkpoint()
     fused = retrieval.reciprocal_rank_fusion((by_vector, F.lit(1.0)), (by_keyword, F.col("keyword_weight")))
-    known = fused.join(scored, ["query_id", "chunk_id"]).join(by_keyword.select("query_id", "chunk_id", F.lit(True).alias("is_keyword")), ["query_id", "chunk_id"], "left")
+    # What words found gets its similarity here; few vectors are shuffled for that.
+    by_words = by_keyword.select("query_id", "chunk_id").join(asked.select("query_id", "asked", "wanted"), "query_id").join(placed.select("chunk_id", "kind", "embedding"), "chunk_id").filter(wanted)
+    by_words = by_words.select("query_id", "chunk_id", F.round(vectors.dot(F.col("embedding"), F.col("asked")), 12).alias("similarity"))
+    scored = by_vector.select("query_id", "chunk_id", "similarity").unionByName(by_words).groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
+    known = fused.join(scored, ["query_id", "chunk_id"]).join(placed.select("chunk_id", "path"), "chunk_id").join(by_keyword.select("query_id", "chunk_id", F.lit(True).alias("is_keyword")), ["query_id", "chunk_id"], "left")
     floors = retrieval.relevance_floor(by_vector, spread)
-    passed = known.join(floors, "query_id").filter(retrieval.passes_cutoff(F.col("floor"), F.coalesce("similarity", F.lit(-1.0)), F.coalesce("is_keyword", F.lit(False)), F.col("fused_rank")))
+    passed = known.join(floors, "query_id", "left").filter(retrieval.passes_cutoff(F.col("floor"), F.coalesce("similarity", F.lit(-1.0)), F.coalesce("is_keyword", F.lit(False)), F.col("fused_rank")))
     best = retrieval.best_per_file(passed.join(queries.select("query_id", "result_limit"), "query_id"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("fused_rank"))
     return best.withColumn("place", place).filter("place <= result_limit").select("query_id", "place", "chunk_id", "path", _six("similarity"))

@@ -53,3 +53,32 @@ def test_gives_rows(spark, small, name):
 def test_entry_points(spark):
     assert set(SQL) <= set(QUERIES)
     assert entry.entry(spark).columns
+
+
+def test_hybrid_end_to_end_moves_no_pairs(spark, tmp_path):
+    """Same as the SQL, with ties, repeats, kinds, missing and short vectors; and what is shuffled doesn't follow chunks times queries."""
+    connection, chunks, queries = duckdb.connect(), 6000, 100
+    vector = "list_transform(range(8), lambda j: (hash({} * 8 + j) % 2000)::FLOAT / 1000 - 1)"
+    tables = {
+        "files": "SELECT i AS file_id, '/f/' || i AS path, i AS size, i AS modified_nanoseconds, '' AS content_hash, TIMESTAMP '2026-01-01' AS recorded_at FROM range(300) t(i)",
+        "chunks": f"""SELECT least(i, {chunks - 10}) AS chunk_id, i % 310 AS file_id, ['text', 'PDF', 'audio', NULL][i % 4 + 1] AS kind, 'common ' || if(i % 7 = 0, 'usual ', '') || 'w' || (i % 90) AS text,
+          CASE WHEN i % 50 = 0 THEN NULL WHEN i % 51 = 0 THEN [1]::FLOAT[] ELSE {vector.format('i % 2500')} END AS embedding, TIMESTAMP '2026-01-01' + INTERVAL (i) SECOND AS recorded_at FROM range({chunks}) t(i)""",
+        "search_queries": f"SELECT i AS query_id, 'common ' || CASE i % 4 WHEN 0 THEN 'usual' WHEN 1 THEN 'nowhere' ELSE 'w' || i END AS query_text, if(i % 5 = 0, NULL, i % 3)::DOUBLE AS keyword_weight, if(i % 6 = 0, 'Text', NULL) AS kind, 10 AS result_limit FROM range({queries}) t(i)",
+        "embeddings": f"SELECT i AS vec_id, {vector.format('(i + 9000)')} AS embedding FROM range({queries - 3}) t(i)",
+    }
+    for name, sql in tables.items():
+        connection.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    java = spark.sparkContext._gateway
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, java.new_array(java.jvm.double, 0), java.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    mine = sorted(tuple(map(plain, r)) for r in QUERIES["hybrid_end_to_end"](spark, str(tmp_path)).collect())
+    assert shuffled() - before < chunks * queries / 2
+    assert mine == sorted(tuple(map(plain, r)) for r in connection.execute(SQL["hybrid_end_to_end"]).fetchall())
+    assert len(mine) > 900

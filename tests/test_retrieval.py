@@ -189,3 +189,27 @@ def test_file_uris(spark):
     paths = ["/a b/c*d~e/ü+%.txt", "//host/share/x y", "C:\\Users\\x", "/", "rel/a", None]
     rows = spark.createDataFrame([(p,) for p in paths], "path string").select(file_uris(F.col("path"))).collect()
     assert [r[0] for r in rows] == [file_uri(p) for p in paths]
+
+
+def test_topk_and_moments_against_all_pairs(spark):
+    import random
+    import statistics
+
+    from quarry.operators.batch_search import spread_of_moments, topk_and_moments
+
+    rng = random.Random(2)
+    one_of = lambda: [rng.choice([-1.0, 0.0, 0.5]) for _ in range(4)]  # many equal similarities
+    rows = [(i, rng.choice(["text", "pdf", None]), one_of()) for i in range(500)] + [(600, "text", None), (601, "text", [1.0, None, 0.0, 0.0]), (602, None, [1.0]), (603, None, [1.0])]
+    queries = [(i, one_of(), "text" if i % 3 == 0 else None) for i in range(20)] + [(30, [2.0], None), (31, None, None), (32, [1.0] * 4, "audio"), (33, [1.0] * 5, None)]
+    found = topk_and_moments(spark.createDataFrame(rows, "chunk_id long, kind string, embedding array<float>").repartition(3), spark.createDataFrame(queries, "query_id long, asked array<float>, wanted string"), 7)
+    each = found.select("query_id", F.explode(F.arrays_zip("ids", "similarities")).alias("x")).select("query_id", F.col("x.ids").alias("chunk_id"), F.col("x.similarities").alias("similarity"))
+    got = {}
+    for r in retrieval.top_per_query(each, 7, F.desc("similarity"), F.desc("chunk_id")).collect():
+        got.setdefault(r["query_id"], []).append((r["similarity"], r["chunk_id"]))
+    spreads = {r["query_id"]: r["spread"] for r in spread_of_moments(found).collect()}
+    for q, v, kind in queries:
+        pairs = sorted(((sum(a * b for a, b in zip(v, w)), i) for i, k, w in rows if v and w and None not in w and len(w) == len(v) and kind in (None, k)), reverse=True)
+        assert sorted(got.get(q, []), reverse=True) == pairs[:7]
+        assert spreads.get(q, 0) == pytest.approx(statistics.pstdev([s for s, _ in pairs]) if pairs else 0)
+    strange = spark.createDataFrame([(i, None, [float(i), 0.0]) for i in range(9)] + [(9, None, [math.nan, 0.0]), (10, None, [math.inf, 0.0])], "chunk_id long, kind string, embedding array<float>").coalesce(1)
+    assert topk_and_moments(strange, spark.createDataFrame([(1, [1.0, 0.0], None)], "query_id long, asked array<float>, wanted string"), 3).first()["ids"] == [9, 10, 8]
